@@ -1,0 +1 @@
+"""Empty on purpose: every dataflow of this engine is a single-pass batch job, so no stream operator exists."""
