@@ -154,8 +154,12 @@ def doc_texts(docs: DataFrame) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a DataFrame's size, for choosing how many parts to deal it into."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Size of a DataFrame with a text column, for choosing how many parts to deal it into: Catalyst's estimate from
+    the files, or where it has none the bytes of the texts."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 50:
+        return size
+    return df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
 
 
 def parts_of(df: DataFrame) -> int:

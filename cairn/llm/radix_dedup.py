@@ -130,7 +130,7 @@ def _reply(bucket: np.ndarray, kind: str, *arrays: np.ndarray) -> pa.Table:
     at = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b)) if len(b) else np.zeros(1, int)
     cols = [a[order] for a in arrays]
     blobs = [b"".join(c[s:e].tobytes() for c in cols) for s, e in zip(at[:-1], at[1:], strict=True)]
-    return pa.table({"bucket": pa.array(b[at[:-1]], pa.int32()), "kind": pa.array([kind] * len(blobs)), "data": pa.array(blobs, pa.binary())})
+    return pa.table({"bucket": pa.array(b[at[:-1]], pa.int32()), "kind": pa.array([kind] * len(blobs), pa.string()), "data": pa.array(blobs, pa.binary())})
 
 
 def _told(table: pa.Table, kind: str) -> np.ndarray:
