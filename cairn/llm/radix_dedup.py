@@ -29,8 +29,9 @@ from cairn.llm.common import U, constants, doc_texts, mix, plan_bytes, raw, text
 WINDOW, KMER = 100, 64
 SPAN = WINDOW - KMER + 1
 CHUNK = 1 << 18
-#: Bytes of input (as Catalyst estimates them) to a bucket, and the least number of buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 1 << 20, 128
+#: Bytes of input (as Catalyst estimates them) to a bucket of documents and to a digit, and the least number of each.
+#: A bucket sends a digit one row, so rows are at most buckets times digits, and never more than records.
+BUCKET_BYTES, DIGIT_BYTES, LEAST_PARTS = 4 << 20, 32 << 20, 128
 
 _T = constants(21, 256)
 _C = constants(22, 16)
@@ -147,11 +148,13 @@ def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[i] == x
 
 
-def _all_runs(b: np.ndarray, offsets: np.ndarray, windows: bool = False) -> list[np.ndarray]:
+def _all_runs(b: np.ndarray, offsets: np.ndarray, opened: np.ndarray | None = None) -> list[np.ndarray]:
+    """All runs of a bucket: start, windows, core, run hash, and the hashes of the windows of those in `opened`."""
     got = [[] for _ in range(5)]
-    for r in runs(b, offsets):
-        for i in range(5 if windows else 4):
-            got[i].append(r[i])
+    for start, count, core, ctx, window in runs(b, offsets):
+        some = window[:0] if opened is None else window[np.repeat(_within(ctx, opened), count)]
+        for x, y in zip(got, (start, count, core, ctx, some), strict=True):
+            x.append(y)
     return [np.concatenate(g) if g else np.zeros(0, np.int64 if i < 2 else U) for i, g in enumerate(got)]
 
 
@@ -198,27 +201,26 @@ def _pass2(digits: int):
     return contexts, resolve
 
 
-def _open_windows(start, count, core, ctx, window, told: pa.Table):
-    """(runs that start earlier here or elsewhere, index of each open run's windows, their keys)."""
-    _, i = _firsts(ctx)
+def _opened(b: np.ndarray, offsets: np.ndarray, told: pa.Table):
+    """(start and windows of each run, whether it starts earlier here or elsewhere; start and key of each window of the
+    runs that are open, the first of theirs in this bucket)."""
+    known = _told(told, "open")
+    start, count, core, ctx, window = _all_runs(b, offsets, known)
     first = np.zeros(len(ctx), bool)
-    first[i] = True
-    gone = ~first | _within(ctx, _told(told, "run"))
-    # a run is also gone if the same run came earlier in this bucket, whatever its core's count elsewhere
-    open_ = first & _within(ctx, _told(told, "open"))
-    of = np.repeat(open_, count)
-    at = np.flatnonzero(of)
-    return gone, at, mix(window[at] + np.repeat(core, count)[at] * _C[9])
+    first[_firsts(ctx)[1]] = True
+    held = _within(ctx, known)  # the windows there are
+    own = np.repeat(first[held], count[held])
+    value = mix(window[own] + np.repeat(core[held], count[held])[own] * _C[9])
+    begin = (np.repeat(start[held], count[held]) + _place(count[held]))[own]
+    return start, count, ~first | _within(ctx, _told(told, "run")), begin, value
 
 
 def _pass3(digits: int):
     def windows(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
         ids, _, b, offsets = _ordered(docs)
-        start, count, core, ctx, window = _all_runs(b, offsets, True)
-        _, at, value = _open_windows(start, count, core, ctx, window, told)
+        *_, begin, value = _opened(b, offsets, told)
         value, i = _firsts(value)
-        begin = np.repeat(start, count) + _place(count)
-        doc = ids[np.searchsorted(offsets, begin[at[i]], "right") - 1].view(U)
+        doc = ids[np.searchsorted(offsets, begin[i], "right") - 1].view(U)
         return _deal(key[0].as_py(), digits, value, doc)
 
     def resolve(key: tuple, rows: pa.Table) -> pa.Table:
@@ -233,25 +235,20 @@ def _pass3(digits: int):
 
 def _place(count: np.ndarray) -> np.ndarray:
     """0, 1, ... within each of consecutive groups of these sizes."""
-    total = int(count.sum())
-    return np.arange(total) - np.repeat(np.cumsum(count) - count, count)
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
 
 
 def _pass4(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
-    ids, col, b, offsets = _ordered(docs)
-    start, count, core, ctx, window = _all_runs(b, offsets, True)
-    gone, at, value = _open_windows(start, count, core, ctx, window, told)
-    begin = np.repeat(start, count) + _place(count)
-    out = np.repeat(gone, count)
-    _, i = _firsts(value)
+    ids, _, b, offsets = _ordered(docs)
+    start, count, gone, begin, value = _opened(b, offsets, told)
     again = np.ones(len(value), bool)
-    again[i] = False
-    out[at] |= again | _within(value, _told(told, "window"))
-    spots, base = begin[out], int(offsets[0])
+    again[_firsts(value)[1]] = False
+    spots, base = begin[again | _within(value, _told(told, "window"))], int(offsets[0])
     change = np.zeros(int(offsets[-1]) - base + 1, np.int32)
-    np.add.at(change, spots - base, 1)
-    np.add.at(change, spots - base + WINDOW, -1)
-    covered = np.cumsum(change[:-1]) > 0
+    for s, e in ((start[gone], start[gone] + count[gone] - 1), (spots, spots)):
+        np.add.at(change, s - base, 1)
+        np.add.at(change, e - base + WINDOW, -1)
+    covered = np.cumsum(change[:-1], dtype=np.int32) > 0
     kept, spans = [], []
     for r in range(len(ids)):
         lo, hi = int(offsets[r]), int(offsets[r + 1])
@@ -280,17 +277,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Null text is empty, and a text of fewer than 100 bytes loses nothing. Rows that repeat a doc_id come in order of
     their texts; of equal rows one counts as first. A null doc_id is before all others. Other columns take no part.
     """
-    buckets = max(LEAST_BUCKETS, plan_bytes(docs) // BUCKET_BYTES)
+    size = plan_bytes(docs)
+    buckets, digits = max(LEAST_PARTS, size // BUCKET_BYTES), max(LEAST_PARTS, size // DIGIT_BYTES)
     d = doc_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_LEAST)))
     d = d.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text")
     d = d.repartition(buckets, "bucket")  # the one shuffle of the texts; every pass reads it again
     told, rows, digit = "bucket int, kind string, data binary", "digit int, bucket int, data binary", "digit"
     by_bucket = lambda x: x.groupBy("bucket")
-    find, answer = _pass1(buckets)
+    find, answer = _pass1(digits)
     known = by_bucket(d).applyInArrow(find, rows).groupBy(digit).applyInArrow(answer, told)
-    find, answer = _pass2(buckets)
+    find, answer = _pass2(digits)
     runs_ = by_bucket(d).cogroup(by_bucket(known)).applyInArrow(find, rows).groupBy(digit).applyInArrow(answer, told)
-    find, answer = _pass3(buckets)
+    find, answer = _pass3(digits)
     single = by_bucket(d).cogroup(by_bucket(runs_)).applyInArrow(find, rows).groupBy(digit).applyInArrow(answer, told)
     said = runs_.unionByName(single)
     out = by_bucket(d).cogroup(by_bucket(said)).applyInArrow(
