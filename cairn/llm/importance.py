@@ -40,7 +40,7 @@ def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n_raw, n_target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
-    for batch, col in batches(it, "text", 1 << 20):
+    for batch, col in batches(it, "text", 1 << 19):
         good = np.array(batch.column("good").fill_null(False))
         row, bucket = features(col)
         n_raw += np.bincount(bucket, minlength=1 << BITS)
@@ -83,7 +83,7 @@ def score(docs: DataFrame, labels: DataFrame, seed: int = 1) -> DataFrame:
     weight = spark.sparkContext.broadcast(share(n_target) - share(n_raw))
 
     def weigh(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, col in batches(it, "text", 1 << 20):
+        for batch, col in batches(it, "text", 1 << 19):
             row, bucket = features(col)
             total = np.bincount(row, weight.value[bucket], minlength=len(col))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total.astype(np.float64))], names=["doc_id", "log_ratio"])

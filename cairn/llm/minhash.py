@@ -16,12 +16,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import SPACES, U, batches, constants, doc_texts, i64, mix, ngrams, raw, slices, starts_of, text_column, word_hashes
+from cairn.llm.common import SPACES, U, batches, constants, doc_texts, i64, mix, ngrams, raw, slices, starts_of, word_hashes
 from cairn.llm.components import connected_components
 from cairn.session import checkpoint
 
@@ -60,7 +59,7 @@ def shingles(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _signatures(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n_shingles, fingerprint of the set (two longs), one byte of each minhash, table keys."""
-    for batch, col in batches(it, "text", 1 << 20):
+    for batch, col in batches(it, "text", 1 << 19):
         n = len(col)
         r, g = shingles(col)
         size = np.bincount(r, minlength=n)
@@ -87,11 +86,11 @@ def _signatures(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
+def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
     """100 * |A and B| >= 75 * |A or B| on the full sets of two columns of texts."""
     out = np.zeros(len(a), bool)
-    left, right = pa.array(a, pa.large_string()), pa.array(b, pa.large_string())
-    for lo, hi in slices(raw(left)[1] + raw(right)[1], 1 << 20):
+    left, right = a.cast(pa.large_string()), b.cast(pa.large_string())
+    for lo, hi in slices(raw(left)[1] + raw(right)[1], 1 << 19):
         r1, g1 = shingles(left.slice(lo, hi - lo))
         r2, g2 = shingles(right.slice(lo, hi - lo))
         r, g = np.concatenate([r1, r2]), np.concatenate([g1, g2])
@@ -101,14 +100,13 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
         inter = np.bincount(r[1:][both], minlength=hi - lo)
         union = np.bincount(r1, minlength=hi - lo) + np.bincount(r2, minlength=hi - lo) - inter
         out[lo:hi] = (union > 0) & (100 * inter >= SIMILARITY * union)
-    return pd.Series(out)
+    pa.default_memory_pool().release_unused()
+    return pa.array(out)
 
 
-def _agree(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype=np.int32)
-    x = np.frombuffer(b"".join(a), np.uint8).reshape(-1, HASHES)
-    return pd.Series((x == np.frombuffer(b"".join(b), np.uint8).reshape(-1, HASHES)).sum(axis=1).astype(np.int32))
+def _agree(a: pa.Array, b: pa.Array) -> pa.Array:
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, HASHES) if len(c) else np.zeros((0, HASHES), np.uint8) for c in (a, b))
+    return pa.array((x == y).sum(axis=1), pa.int32())
 
 
 def _candidates(cells: DataFrame, salt: int) -> DataFrame:
@@ -122,7 +120,7 @@ def _candidates(cells: DataFrame, salt: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar. Sizes and minhash bytes first, so that few texts travel."""
-    agree, similar = F.pandas_udf(_agree, "int"), F.pandas_udf(_similar, "boolean")
+    agree, similar = F.arrow_udf(_agree, "int"), F.arrow_udf(_similar, "boolean")
     left = sigs.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
     right = sigs.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILARITY

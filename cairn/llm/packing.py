@@ -33,13 +33,10 @@ class Ids:
     the faster engine, whose ids are the same. Special tokens' strings in a text are ordinary text."""
 
     def __init__(self, path: str, ranks: str | None, pattern: str | None):
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
-        self.fast = None
+        self.path, self.slow, self.fast = path, None, None
         if ranks:
+            import tiktoken
+
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
@@ -47,6 +44,11 @@ class Ids:
         if self.fast is not None and not UNUSUAL.search(text):
             ids = self.fast.encode_ordinary(text)
         else:
+            if self.slow is None:  # takes room, and few texts need it
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.path)
+                self.slow.encode_special_tokens = True
             ids = self.slow.encode(text, add_special_tokens=False).ids
         return np.array([*ids, END], "<u4")
 
