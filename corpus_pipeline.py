@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from cairn.llm import fm_decontam, importance, minhash, radix_dedup
 from cairn.llm.entry import RANKS, TOKENIZER
 from cairn.llm.packing import pack
 from cairn.session import checkpoint
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-import public_tokenizers
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -41,13 +42,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated passages; a character that lost some of its bytes goes whole."""
     docs = _named(docs)
-    whole = F.pandas_udf(_decoded, "string")
+    whole = F.arrow_udf(_decoded, "string")
     found = radix_dedup.remove_repeats(docs).select("doc_id", whole("kept").alias("text"))
     return _with_text(docs, found)
 
 
-def _decoded(kept):
-    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+def _decoded(kept: pa.Array) -> pa.Array:
+    return pa.array([b.as_py().decode("utf-8", "ignore") for b in kept], pa.string())
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
