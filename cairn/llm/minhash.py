@@ -5,10 +5,13 @@ GROUPS * GROUPS tables: the key of table (i, j) joins left collection i with rig
 minhashes each take 32 minhashes instead of 256. At a similarity of 0.75 a pair shares some left collection with
 probability 1 - (1 - 0.75 ** 2) ** 8 = 0.9987, and some table with 0.9973.
 
+Since a table's cell needs both of its collections shared, documents first say their 16 collections, and only those
+that some other document shares are combined into table keys: without loss, and with far fewer rows than 64 a document.
+
 Documents with one and the same shingle set form a class, and its smallest doc_id stands for it, before any table is
-built. Each table cell links its members to two of them, its smallest id and one at random (another in each table), so
-rows stay in proportion to documents however large a cell is. Links are confirmed on the full sets. A second pass
-repeats that, with other random leaders, for the cells whose members are not yet in one component.
+built. Each table cell links its members to its smallest id and to LEADERS at random (others in each table), so rows
+stay in proportion to documents however large a cell is, and members of a large group meet many others of it, table by
+table. Links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ GROUPS, ROWS = 8, 2
 HASHES = 2 * GROUPS * ROWS
 #: Pairs whose 32 one-byte minhashes agree in fewer places are not fetched: at 0.75 that is 4.3 deviations below.
 LEAST_AGREE = 14
-PASSES = 2
+LEADERS = 2
 
 _A = constants(11, HASHES)
 _B = constants(12, HASHES)
@@ -58,7 +61,7 @@ def shingles(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_shingles, fingerprint of the set (two longs), one byte of each minhash, table keys."""
+    """doc_id, n_shingles, fingerprint of the set (two longs), one byte of each minhash, the collections' hashes."""
     for batch, col in batches(it, "text", 1 << 19):
         n = len(col)
         r, g = shingles(col)
@@ -73,16 +76,13 @@ def _signatures(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = g * _A[k] + _B[k]
                 x ^= x >> U(32)
                 low[has, k] = np.minimum.reduceat(x * _A[k - 1], at)
-        c = constants(13, ROWS + 1)
-        sides = mix((low.reshape(n, 2 * GROUPS, ROWS) * c[:ROWS]).sum(axis=2, dtype=U))
-        table = constants(14, GROUPS * GROUPS).reshape(GROUPS, GROUPS)
-        keys = mix(sides[:, :GROUPS, None] * c[ROWS] + sides[:, None, GROUPS:] + table).reshape(n, -1)
+        keys = mix((low.reshape(n, 2 * GROUPS, ROWS) * constants(13, ROWS)).sum(axis=2, dtype=U) + constants(14, 2 * GROUPS))
         byte = (mix(low) & U(0xFF)).astype(np.uint8)
         listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * keys.shape[1]), pa.array(i64(keys).ravel()))
         sig = pa.array([byte[i].tobytes() for i in range(n)], pa.binary())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(i64(f1)), pa.array(i64(f2)), sig, listed],
-            names=["doc_id", "n_shingles", "f1", "f2", "sig", "keys"],
+            names=["doc_id", "n_shingles", "f1", "f2", "sig", "sides"],
         )
 
 
@@ -109,11 +109,21 @@ def _agree(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array((x == y).sum(axis=1), pa.int32())
 
 
-def _candidates(cells: DataFrame, salt: int) -> DataFrame:
-    """(a, b), a < b: each member of a cell with the cell's smallest id and with its random leader."""
-    luck = F.xxhash64("key", "id", F.lit(salt))
-    lead = cells.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.min_by("id", luck).alias("lucky"))
-    lead = lead.filter("n > 1").select("key", F.array_distinct(F.array("low", "lucky")).alias("leads"))
+def _cells(sides: DataFrame) -> DataFrame:
+    """(key, id) of the table cells made of collections that another document shares too."""
+    one = sides.select("id", F.posexplode("sides").alias("pos", "side"))
+    shared = one.groupBy("side").agg(F.count("*").alias("n")).filter("n > 1").select("side")
+    by_id = one.join(shared, "side").groupBy("id").agg(F.collect_list(F.struct("pos", "side")).alias("s"))  # 16 at most
+    half = lambda left: F.filter("s", lambda x: (x["pos"] < GROUPS) == F.lit(left))
+    each = by_id.select("id", F.explode(half(True)).alias("l"), half(False).alias("right"))
+    return each.select("id", "l", F.explode("right").alias("r")).select("id", F.xxhash64("l.side", "r.side").alias("key"))
+
+
+def _candidates(cells: DataFrame) -> DataFrame:
+    """(a, b), a < b: each member of a cell with the cell's smallest id and with its random leaders."""
+    lucky = [F.min_by("id", F.xxhash64("key", "id", F.lit(k))).alias(f"x{k}") for k in range(LEADERS)]
+    lead = cells.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), *lucky).filter("n > 1")
+    lead = lead.select("key", F.array_distinct(F.array("low", *[f"x{k}" for k in range(LEADERS)])).alias("leads"))
     pairs = cells.join(lead, "key").select("id", F.explode("leads").alias("lead")).filter("id <> lead")
     return pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
 
@@ -130,6 +140,9 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame
     return near.filter(similar("ta", "tb")).select("a", "b")
 
 
+SIGNED = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sig binary, sides array<bigint>"
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
@@ -138,38 +151,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with nothing and has component_id null and kept true. Other columns take no part.
     """
     texts = doc_texts(docs).filter("doc_id is not null")
-    signed = texts.mapInArrow(_signatures, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sig binary, keys array<bigint>")
-    signed = checkpoint(signed)
+    signed = checkpoint(texts.mapInArrow(_signatures, SIGNED))
     members = signed.select("doc_id", "n_shingles", "f1", "f2")
     full = signed.filter("n_shingles > 0")
     # of equal sets (which have equal minhashes) one goes on
-    classes = full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
-    sigs = full.join(classes.select("n_shingles", "f1", "f2", "id"), ["n_shingles", "f1", "f2"]).filter("doc_id = id")
-    sigs = checkpoint(sigs.select("id", "n_shingles", "sig", "keys").dropDuplicates(["id", "n_shingles", "sig"]))
-    cells = sigs.select("id", F.explode("keys").alias("key"))
-    lines = sigs.select("id", "n_shingles", "sig")
-    same = members.filter("n_shingles > 0").join(classes.filter("n > 1").drop("n"), ["n_shingles", "f1", "f2"]).select(F.col("doc_id").alias("b"), F.col("id").alias("a"))
-    links = checkpoint(_confirmed(_candidates(cells, 0), lines, texts))
+    classes = full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("sides").alias("sides"))
+    classes = checkpoint(classes)
+    sigs = classes.select("id", "n_shingles", "sig")
+    same = members.filter("n_shingles > 0").join(classes.filter("n > 1").select("n_shingles", "f1", "f2", "id"), ["n_shingles", "f1", "f2"])
+    same = same.select(F.col("doc_id").alias("b"), F.col("id").alias("a"))
+    links = checkpoint(_confirmed(_candidates(_cells(classes)), sigs, texts))
     component = checkpoint(connected_components(links))
-    for salt in range(1, PASSES):
-        label = cells.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        open_ = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-        again = checkpoint(label.join(open_, "key"))
-        # leaders of components in the cell, each member against one of another component
-        luck = F.xxhash64("key", "id", F.lit(salt))
-        lead = again.groupBy("key").agg(F.min_by("id", luck).alias("x"), F.max_by("id", luck).alias("y"), F.max("id").alias("z"))
-        lead = lead.select("key", F.array_distinct(F.array("x", "y", "z")).alias("leads"))
-        pairs = again.join(lead, "key").select("id", "c", F.explode("leads").alias("lead")).filter("id <> lead")
-        pairs = pairs.groupBy(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).agg(F.lit(1).alias("one")).drop("one")
-        ca, cb = component.select(F.col("id").alias("a"), F.col("component").alias("ca")), component.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        pairs = pairs.join(ca, "a", "left").join(cb, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        more = checkpoint(_confirmed(pairs, lines, texts))
-        links = links.unionByName(more)
-        component = connected_components(links)
-    component = checkpoint(component)
-    final = checkpoint(same.join(component.select(F.col("id").alias("a"), "component"), "a", "left").select(F.col("b").alias("id"), F.coalesce("component", "a").alias("component")).unionByName(component))
+    final = same.join(component.select(F.col("id").alias("a"), "component"), "a", "left")
+    final = final.select(F.col("b").alias("id"), F.coalesce("component", "a").alias("component")).unionByName(component)
     final = final.groupBy("id").agg(F.min("component").alias("component"))
     out = members.join(final, members.doc_id == final.id, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    nameless = doc_texts(docs).filter("doc_id is null").mapInArrow(_signatures, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sig binary, keys array<bigint>")
+    nameless = doc_texts(docs).filter("doc_id is null").mapInArrow(_signatures, SIGNED)
     return out.unionByName(nameless.select("doc_id", "n_shingles", F.lit(None).cast("bigint").alias("component_id"), F.lit(True).alias("kept")))
