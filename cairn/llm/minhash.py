@@ -1,17 +1,18 @@
 """MinHash near-dedup with tensored banding.
 
 2 * GROUPS small collections of ROWS minhashes each, GROUPS on a left and GROUPS on a right side, give
-GROUPS * GROUPS tables: the key of table (i, j) joins left collection i with right collection j. So 64 tables of four
-minhashes each take 32 minhashes instead of 256. At a similarity of 0.75 a pair shares some left collection with
-probability 1 - (1 - 0.75 ** 2) ** 8 = 0.9987, and some table with 0.9973.
+GROUPS * GROUPS tables: the key of table (i, j) joins left collection i with right collection j. So 100 tables of four
+minhashes each take 40 minhashes instead of 400. At a similarity of 0.75 a pair shares some left collection with
+probability 1 - (1 - 0.75 ** 2) ** 10 = 0.9997, and some table with 0.9995.
 
-Since a table's cell needs both of its collections shared, documents first say their 16 collections, and only those
-that some other document shares are combined into table keys: without loss, and with far fewer rows than 64 a document.
+Since a table's cell needs both of its collections shared, documents first say their 20 collections, and only those
+that some other document shares are combined into table keys: without loss, and with far fewer rows than 100 a document.
 
 Documents with one and the same shingle set form a class, and its smallest doc_id stands for it, before any table is
-built. Each table cell links its members to its smallest id and to LEADERS at random (others in each table), so rows
-stay in proportion to documents however large a cell is, and members of a large group meet many others of it, table by
-table. Links are confirmed on the full sets.
+built. Each table cell links its members to its smallest id; and, sorted by the collections that follow the table's
+own (as in an LSH forest), to their neighbours, which are the most similar ones. So rows stay in proportion to documents
+however large a cell is, and table by table the members of a large group meet others. Links are confirmed on the full
+sets.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import SPACES, U, batches, constants, doc_texts, i64, mix, ngrams, raw, slices, starts_of, word_hashes
@@ -28,11 +29,10 @@ from cairn.llm.components import connected_components
 from cairn.session import checkpoint
 
 WORDS, SIMILARITY = 5, 75
-GROUPS, ROWS = 8, 2
+GROUPS, ROWS = 10, 2
 HASHES = 2 * GROUPS * ROWS
-#: Pairs whose 32 one-byte minhashes agree in fewer places are not fetched: at 0.75 that is 4.3 deviations below.
-LEAST_AGREE = 14
-LEADERS = 2
+#: Pairs whose 40 one-byte minhashes agree in fewer places are not fetched: at 0.75 that is 4.3 deviations below.
+LEAST_AGREE = 18
 
 _A = constants(11, HASHES)
 _B = constants(12, HASHES)
@@ -113,18 +113,23 @@ def _cells(sides: DataFrame) -> DataFrame:
     """(key, id) of the table cells made of collections that another document shares too."""
     one = sides.select("id", F.posexplode("sides").alias("pos", "side"))
     shared = one.groupBy("side").agg(F.count("*").alias("n")).filter("n > 1").select("side")
-    by_id = one.join(shared, "side").groupBy("id").agg(F.collect_list(F.struct("pos", "side")).alias("s"))  # 16 at most
+    by_id = one.join(shared, "side").groupBy("id").agg(F.collect_list(F.struct("pos", "side")).alias("s"))  # 20 at most
     half = lambda left: F.filter("s", lambda x: (x["pos"] < GROUPS) == F.lit(left))
-    each = by_id.select("id", F.explode(half(True)).alias("l"), half(False).alias("right"))
-    return each.select("id", "l", F.explode("right").alias("r")).select("id", F.xxhash64("l.side", "r.side").alias("key"))
+    each = by_id.select("id", F.map_from_entries("s").alias("of"), F.explode(half(True)).alias("l"), half(False).alias("right"))
+    each = each.select("id", "of", "l", F.explode("right").alias("r"))
+    # a collection that no other document shares has no neighbours: the id stands for it
+    after = lambda side, k: F.coalesce(F.try_element_at("of", (F.col(f"{side}.pos") + k) % GROUPS + (0 if side == "l" else GROUPS)), F.col("id"))
+    return each.select("id", F.xxhash64("l.side", "r.side").alias("key"), after("l", 1).alias("l1"), after("l", 2).alias("l2"), after("r", 1).alias("r1"), after("r", 2).alias("r2"))
 
 
 def _candidates(cells: DataFrame) -> DataFrame:
-    """(a, b), a < b: each member of a cell with the cell's smallest id and with its random leaders."""
-    lucky = [F.min_by("id", F.xxhash64("key", "id", F.lit(k))).alias(f"x{k}") for k in range(LEADERS)]
-    lead = cells.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), *lucky).filter("n > 1")
-    lead = lead.select("key", F.array_distinct(F.array("low", *[f"x{k}" for k in range(LEADERS)])).alias("leads"))
-    pairs = cells.join(lead, "key").select("id", F.explode("leads").alias("lead")).filter("id <> lead")
+    """(a, b), a < b: each member of a cell with the cell's smallest id and with its neighbours in two sort orders, each
+    among the members that share one collection more."""
+    lead = cells.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).filter("n > 1").select("key", "low")
+    cells = cells.join(lead, "key")
+    near = [F.lag("id").over(Window.partitionBy("key", x1).orderBy(*rest, "id")) for x1, rest in (("l1", ("l2", "r1", "r2")), ("r1", ("r2", "l1", "l2")))]
+    found = cells.select("id", "low", near[0].alias("x"), near[1].alias("y"))
+    pairs = found.select("id", F.explode(F.array("low", "x", "y")).alias("lead")).filter("id <> lead")
     return pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
 
 
