@@ -121,8 +121,9 @@ def count_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 except KeyError:
                     if len(known) > REMEMBERED:
                         known.clear()
-                    for w in set(found) - known.keys():
-                        known[w] = automaton.count(w.encode())
+                    for w in set(found):  # not set - keys(), which goes through all of the keys
+                        if w not in known:
+                            known[w] = automaton.count(w.encode())
                     tokens[i] = sum(map(known.__getitem__, found))
                 words[i] = len(found)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words), pa.array(tokens)], names=["doc_id", "n_words", "n_tokens"])
