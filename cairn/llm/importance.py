@@ -2,8 +2,11 @@
 
 Two bag models over hashed token unigrams and bigrams: raw, counted over all documents, and target, counted over a
 sample of documents labelled good. A document's log weight is the sum of log(target / raw) over its n-grams. Sampling
-without replacement in proportion to the weights is a top-k of log weight + Gumbel noise; k is such that of the
-labelled good documents of the sample a share of LOSS at most would go.
+without replacement in proportion to the weights is a top-k of log weight + Gumbel noise.
+
+A few words that the target hardly has vanish in the sum over a whole document. So there is a second log weight, by
+models of single words in finer buckets: the sum over its words of what log(target / raw) is below FLOOR. A document is
+kept if it is drawn by both. Each k is such that of the labelled good documents of the sample half of LOSS at most go.
 """
 
 from __future__ import annotations
@@ -17,8 +20,12 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import SPACES, U, batches, constants, ngrams, raw, word_hashes
 
-#: Hash buckets (log 2), the bound on labelled rows that are used, and the share of good ones that may go.
-BITS, LABELLED, LOSS = 16, 20_000, 0.005
+#: Hash buckets (log 2) of the n-grams and of the single words, the bound on labelled rows that are used, and the share
+#: of good ones that may go.
+BITS, WORD_BITS, LABELLED, LOSS = 16, 20, 20_000, 0.005
+#: Log ratio of a word from which it counts against a document: 4.5 times rarer in the target than in the raw texts.
+FLOOR = -1.5
+ALL = (1 << BITS) + (1 << WORD_BITS)
 
 _WORD = np.zeros(256, bool)
 for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -38,15 +45,30 @@ def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([row, row2]), bucket
 
 
+def words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of each word, A-Z as a-z; their buckets follow those of features()."""
+    row, _, _, h = word_hashes(*raw(col), _WORD)
+    return row, (h >> U(64 - WORD_BITS)).astype(np.int64) + (1 << BITS)
+
+
 def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n_raw, n_target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    n_raw, n_target = np.zeros(ALL, np.int64), np.zeros(ALL, np.int64)
     for batch, col in batches(it, "text", 1 << 19):
         good = np.array(batch.column("good").fill_null(False))
-        row, bucket = features(col)
-        n_raw += np.bincount(bucket, minlength=1 << BITS)
-        n_target += np.bincount(bucket[good[row]], minlength=1 << BITS)
-    at = np.flatnonzero(n_raw)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n_raw[at]), pa.array(n_target[at])], names=["bucket", "n_raw", "n_target"])
+        for row, bucket in (features(col), words(col)):
+            np.add.at(n_raw, bucket, 1)
+            np.add.at(n_target, bucket[good[row]], 1)
+    seen = np.flatnonzero(n_raw)
+    for at in np.split(seen, range(1 << 16, len(seen), 1 << 16)):
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n_raw[at]), pa.array(n_target[at])], names=["bucket", "n_raw", "n_target"])
+
+
+def _weights(n_raw: np.ndarray, n_target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log ratios of the n-gram buckets; of the word buckets, what is below FLOOR."""
+    share = lambda c: np.log((c + 1) / (c.sum() + len(c)))
+    grams, rest = slice(0, 1 << BITS), slice(1 << BITS, ALL)
+    expected = n_raw[rest] * (n_target[rest].sum() / max(1, n_raw[rest].sum()))
+    return share(n_target[grams]) - share(n_raw[grams]), np.minimum(0, np.log((n_target[rest] + 1) / (expected + 1)) - FLOOR).astype(np.float32)
 
 
 def labelled_sample(labels: DataFrame, limit: int = LABELLED) -> DataFrame:
@@ -64,9 +86,9 @@ def gumbel(doc_id: Column, seed: int) -> Column:
 
 
 def score(docs: DataFrame, labels: DataFrame, seed: int = 1) -> DataFrame:
-    """doc_id, log_ratio, key (log_ratio + noise), kept: one row per input row.
+    """doc_id, log_ratio, word_ratio, key and word_key (these with noise), kept: one row per input row.
 
-    Null or empty text: log_ratio 0. A doc_id that repeats gets the same noise in each row. Without any labelled good
+    Null or empty text: both ratios 0. A doc_id that repeats gets the same noise in each row. Without any labelled good
     document all are kept. Ties at the threshold are all kept. Labels that repeat or disagree count as the worst of
     them. Other columns take no part.
     """
@@ -76,24 +98,29 @@ def score(docs: DataFrame, labels: DataFrame, seed: int = 1) -> DataFrame:
     known = F.broadcast(spark.createDataFrame(sample, "doc_id bigint, good boolean, held boolean"))
     trained = d.join(known.filter("not held").select("doc_id", "good"), "doc_id", "left")
     counts = trained.mapInArrow(_counts, "bucket bigint, n_raw bigint, n_target bigint").groupBy("bucket").agg(F.sum("n_raw"), F.sum("n_target"))
-    n_raw, n_target = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for b, r, t in counts.collect():  # 2 ** BITS rows at most
-        n_raw[b], n_target[b] = r, t
-    share = lambda c: np.log((c + 1) / (c.sum() + len(c)))
-    weight = spark.sparkContext.broadcast(share(n_target) - share(n_raw))
+    n_raw, n_target = np.zeros(ALL), np.zeros(ALL)
+    table = counts.toArrow()  # ALL rows at most, 25 MB
+    at = table.column(0).to_numpy()
+    n_raw[at], n_target[at] = table.column(1).to_numpy(), table.column(2).to_numpy()
+    weights = spark.sparkContext.broadcast(_weights(n_raw, n_target))
 
     def weigh(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, rare = weights.value
         for batch, col in batches(it, "text", 1 << 19):
             row, bucket = features(col)
-            total = np.bincount(row, weight.value[bucket], minlength=len(col))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total.astype(np.float64))], names=["doc_id", "log_ratio"])
+            total = np.bincount(row, grams[bucket], minlength=len(col))
+            row, bucket = words(col)
+            low = np.bincount(row, rare[bucket - (1 << BITS)], minlength=len(col))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total.astype(np.float64)), pa.array(low.astype(np.float64))], names=["doc_id", "log_ratio", "word_ratio"])
 
-    keyed = d.mapInArrow(weigh, "doc_id bigint, log_ratio double").withColumn("key", F.col("log_ratio") + gumbel(F.col("doc_id"), seed))
+    keyed = d.mapInArrow(weigh, "doc_id bigint, log_ratio double, word_ratio double")
+    keyed = keyed.withColumn("key", F.col("log_ratio") + gumbel(F.col("doc_id"), seed)).withColumn("word_key", F.col("word_ratio") + gumbel(F.col("doc_id"), seed + 1))
     from cairn.session import checkpoint
 
     keyed = checkpoint(keyed)
-    held = keyed.join(known.filter("held and good").select("doc_id"), "doc_id").agg(F.percentile("key", F.lit(LOSS)).alias("at")).first()
-    if n_target.sum() == 0 or held["at"] is None:
+    least = [F.percentile(k, F.lit(LOSS / 2)).alias(k) for k in ("key", "word_key")]
+    held = keyed.join(known.filter("held and good").select("doc_id"), "doc_id").agg(*least).first()
+    if n_target.sum() == 0 or held["key"] is None:
         return keyed.withColumn("kept", F.lit(True))
-    # the k-th largest key, where k is the number of keys that are no smaller
-    return keyed.withColumn("kept", F.col("key") >= F.lit(held["at"]))
+    # the k-th largest keys, where k is the number of keys that are no smaller
+    return keyed.withColumn("kept", (F.col("key") >= F.lit(held["key"])) & (F.col("word_key") >= F.lit(held["word_key"])))

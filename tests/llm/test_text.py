@@ -220,6 +220,19 @@ def test_quality_by_definition(spark, docs):
         assert abs(r.log_ratio - sum(share(target, b) - share(raw, b) for b in bags[r.doc_id])) < 1e-6
 
 
+def test_quality_words(spark):
+    """A word that only bad documents have counts against each that has it, at its plain log ratio below FLOOR."""
+    rows = [(i, f"plain words of every day {'Blah' if i % 4 == 0 else 'fine'} number{i}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(4000)], "doc_id bigint, quality int, toxic int")
+    got = importance.score(docs, labels).collect()
+    n = sum(r.good and not r.held for r in importance.labelled_sample(labels).collect())
+    want = np.log(1 / (1000 * n / 4000 + 1)) - importance.FLOOR
+    assert all(abs(r.word_ratio - (want if r.doc_id % 4 == 0 else 0)) < 1e-4 for r in got)
+    assert sum(r.kept for r in got if r.doc_id % 4) >= 0.98 * 3000
+    assert sum(r.kept for r in got if r.doc_id % 4 == 0) <= 0.25 * 1000
+
+
 def test_licenses(spark, odd, none):
     near = "This work is licensed under the GNU General Public License, version 2."
     rows = [(1, "abc\nReleased under the MIT License.\nx"), (2, near), (3, "no licence talk here at all, only words"), (4, "text before. Licensed under CC BY-NC 4.0. and after"), (5, None), (6, "ALL RIGHTS RESERVED"), (6, "ALL RIGHTS RESERVED")]
