@@ -5,14 +5,15 @@ GROUPS * GROUPS tables: the key of table (i, j) joins left collection i with rig
 minhashes each take 40 minhashes instead of 400. At a similarity of 0.75 a pair shares some left collection with
 probability 1 - (1 - 0.75 ** 2) ** 10 = 0.9997, and some table with 0.9995.
 
-Since a table's cell needs both of its collections shared, documents first say their 20 collections, and only those
-that some other document shares are combined into table keys: without loss, and with far fewer rows than 100 a document.
+A document enters the cells of its left collections that another document shares too; that it shares a right collection
+with another member, so some table's cell, is seen inside the task, which also compares the minhash bytes. A cell that
+more than BLOCK documents enter is dealt out as pairs of blocks, so all members meet and no task holds all of it. No
+pair is emitted as a row: a task reports a spanning forest of its candidates.
 
 Documents with one and the same shingle set form a class, and its smallest doc_id stands for it, before any table is
-built. Each table cell links its members to its smallest id; and, sorted by the collections that follow the table's
-own (as in an LSH forest), to their neighbours, which are the most similar ones. So rows stay in proportion to documents
-however large a cell is, and table by table the members of a large group meet others. Links are confirmed on the full
-sets.
+built. The components of the candidates are groups; all pairs of a group are compared on their full sets, again dealt
+as pairs of blocks, by counting common shingles (a product of incidence matrices), and each task reports a spanning
+forest of the true links.
 """
 
 from __future__ import annotations
@@ -21,18 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import SPACES, U, batches, constants, doc_texts, i64, mix, ngrams, raw, slices, starts_of, word_hashes
+from cairn.llm.common import SPACES, U, batches, constants, doc_texts, i64, mix, ngrams, parts_of, raw, starts_of, text_column, word_hashes
 from cairn.llm.components import connected_components
 from cairn.session import checkpoint
 
 WORDS, SIMILARITY = 5, 75
 GROUPS, ROWS = 10, 2
 HASHES = 2 * GROUPS * ROWS
-#: Pairs whose 40 one-byte minhashes agree in fewer places are not fetched: at 0.75 that is 4.3 deviations below.
+#: Pairs whose 40 one-byte minhashes agree in fewer places are no candidates: at 0.75 that is 4.3 deviations below.
 LEAST_AGREE = 18
+#: Documents, and bytes of hashes, of a block; members up to which cells and groups are gone through many at once.
+BLOCK, BLOCK_BYTES, SMALL = 512, 1 << 22, 16
 
 _A = constants(11, HASHES)
 _B = constants(12, HASHES)
@@ -61,7 +64,8 @@ def shingles(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_shingles, fingerprint of the set (two longs), one byte of each minhash, the collections' hashes."""
+    """doc_id, n_shingles, fingerprint of the set (two longs), one byte of each minhash and four of each right
+    collection's hash, the left collections' hashes."""
     for batch, col in batches(it, "text", 1 << 19):
         n = len(col)
         r, g = shingles(col)
@@ -78,71 +82,210 @@ def _signatures(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low[has, k] = np.minimum.reduceat(x * _A[k - 1], at)
         keys = mix((low.reshape(n, 2 * GROUPS, ROWS) * constants(13, ROWS)).sum(axis=2, dtype=U) + constants(14, 2 * GROUPS))
         byte = (mix(low) & U(0xFF)).astype(np.uint8)
-        listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * keys.shape[1]), pa.array(i64(keys).ravel()))
-        sig = pa.array([byte[i].tobytes() for i in range(n)], pa.binary())
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * GROUPS), pa.array(i64(keys[:, :GROUPS]).ravel()))
+        packed = np.concatenate([byte, (keys[:, GROUPS:] & U(0xFFFFFFFF)).astype("<u4").view(np.uint8)], axis=1)
+        sig = pa.array([packed[i].tobytes() for i in range(n)], pa.binary())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(i64(f1)), pa.array(i64(f2)), sig, listed],
             names=["doc_id", "n_shingles", "f1", "f2", "sig", "sides"],
         )
 
 
-def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
-    """100 * |A and B| >= 75 * |A or B| on the full sets of two columns of texts."""
-    out = np.zeros(len(a), bool)
-    left, right = a.cast(pa.large_string()), b.cast(pa.large_string())
-    for lo, hi in slices(raw(left)[1] + raw(right)[1], 1 << 19):
-        r1, g1 = shingles(left.slice(lo, hi - lo))
-        r2, g2 = shingles(right.slice(lo, hi - lo))
-        r, g = np.concatenate([r1, r2]), np.concatenate([g1, g2])
-        order = np.lexsort((g, r))
-        r, g = r[order], g[order]
-        both = (r[1:] == r[:-1]) & (g[1:] == g[:-1])
-        inter = np.bincount(r[1:][both], minlength=hi - lo)
-        union = np.bincount(r1, minlength=hi - lo) + np.bincount(r2, minlength=hi - lo) - inter
-        out[lo:hi] = (union > 0) & (100 * inter >= SIMILARITY * union)
-    pa.default_memory_pool().release_unused()
-    return pa.array(out)
-
-
-def _agree(a: pa.Array, b: pa.Array) -> pa.Array:
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, HASHES) if len(c) else np.zeros((0, HASHES), np.uint8) for c in (a, b))
-    return pa.array((x == y).sum(axis=1), pa.int32())
-
-
-def _cells(sides: DataFrame) -> DataFrame:
-    """(key, id) of the table cells made of collections that another document shares too."""
-    one = sides.select("id", F.posexplode("sides").alias("pos", "side"))
-    shared = one.groupBy("side").agg(F.count("*").alias("n")).filter("n > 1").select("side")
-    by_id = one.join(shared, "side").groupBy("id").agg(F.collect_list(F.struct("pos", "side")).alias("s"))  # 20 at most
-    half = lambda left: F.filter("s", lambda x: (x["pos"] < GROUPS) == F.lit(left))
-    each = by_id.select("id", F.map_from_entries("s").alias("of"), F.explode(half(True)).alias("l"), half(False).alias("right"))
-    each = each.select("id", "of", "l", F.explode("right").alias("r"))
-    # a collection that no other document shares has no neighbours: the id stands for it
-    after = lambda side, k: F.coalesce(F.try_element_at("of", (F.col(f"{side}.pos") + k) % GROUPS + (0 if side == "l" else GROUPS)), F.col("id"))
-    return each.select("id", F.xxhash64("l.side", "r.side").alias("key"), after("l", 1).alias("l1"), after("l", 2).alias("l2"), after("r", 1).alias("r1"), after("r", 2).alias("r2"))
-
-
-def _candidates(cells: DataFrame) -> DataFrame:
-    """(a, b), a < b: each member of a cell with the cell's smallest id and with its neighbours in two sort orders, each
-    among the members that share one collection more."""
-    lead = cells.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).filter("n > 1").select("key", "low")
-    cells = cells.join(lead, "key")
-    near = [F.lag("id").over(Window.partitionBy("key", x1).orderBy(*rest, "id")) for x1, rest in (("l1", ("l2", "r1", "r2")), ("r1", ("r2", "l1", "l2")))]
-    found = cells.select("id", "low", near[0].alias("x"), near[1].alias("y"))
-    pairs = found.select("id", F.explode(F.array("low", "x", "y")).alias("lead")).filter("id <> lead")
-    return pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-
-
-def _confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar. Sizes and minhash bytes first, so that few texts travel."""
-    agree, similar = F.arrow_udf(_agree, "int"), F.arrow_udf(_similar, "boolean")
-    left = sigs.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
-    right = sigs.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILARITY
-    near = pairs.join(left, "a").join(right, "b").filter(fits).filter(agree("sa", "sb") >= LEAST_AGREE).select("a", "b")
-    near = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    near = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return near.filter(similar("ta", "tb")).select("a", "b")
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (an index of the same component each) after joining a[k] with b[k]."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _runs(start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places within each of the runs that begin at `start`, of n places."""
+    size = np.diff(np.append(start, n))
+    last = np.repeat(start + size, size)
+    at, out = np.arange(n), []
+    for d in range(1, int(size.max(initial=1))):
+        at = at[at + d < last[at]]
+        out.append((at, at + d))
+    return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(2))
+
+
+def _whole_groups(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by (key, i, j) as tables of whole groups, with where each group begins."""
+
+    def cut(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(parts)
+        new = np.zeros(len(table), bool)
+        new[:1] = True
+        for c in ("key", "i", "j"):
+            new[1:] |= np.diff(table.column(c).to_numpy()) != 0
+        return table, np.flatnonzero(new)
+
+    held: list[pa.RecordBatch] = []
+    for batch in it:
+        if not len(batch):
+            continue
+        first = [batch.column(c)[0].as_py() for c in ("key", "i", "j")]
+        if held and first != [held[-1].column(c)[-1].as_py() for c in ("key", "i", "j")]:
+            yield cut(held)
+            held = []
+        last = int(cut([batch])[1][-1])  # the last group may go on
+        if last:
+            yield cut([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield cut(held)
+
+
+def _forest(it: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of (ids, labels)."""
+    for ids, label in it:
+        low = ids[label]
+        other = low != ids
+        yield pa.RecordBatch.from_arrays([pa.array(ids[other], pa.int64()), pa.array(low[other], pa.int64())], names=["a", "b"])
+        pa.default_memory_pool().release_unused()
+
+
+def _fits(n: np.ndarray, sig: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether a pair that shares a left collection is a candidate."""
+    ok = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * SIMILARITY
+    ok &= (right[a] == right[b]).any(axis=1)
+    return ok & ((sig[a] == sig[b]).sum(axis=1) >= LEAST_AGREE)
+
+
+def _meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the candidates of each cell (or pair of its blocks)."""
+
+    def work() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for table, start in _whole_groups(it):
+            ids, n = table.column("id").to_numpy(), table.column("n_shingles").to_numpy()
+            data = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), HASHES + 4 * GROUPS)
+            sig, right = data[:, :HASHES], np.ascontiguousarray(data[:, HASHES:]).view("<u4")
+            label = np.arange(len(ids))
+            size = np.diff(np.append(start, len(ids)))
+            few = np.repeat(size <= SMALL, size)
+            place = np.flatnonzero(few)
+            if len(place):
+                begins = np.searchsorted(place, start[size <= SMALL])
+                a, b = _runs(begins, len(place))
+                for k in range(0, len(a), 1 << 16):
+                    x, y = place[a[k : k + (1 << 16)]], place[b[k : k + (1 << 16)]]
+                    ok = _fits(n, sig, right, x, y)
+                    label = _merge(label, x[ok], y[ok])
+            for s, m in zip(start[size > SMALL], size[size > SMALL], strict=True):
+                left, front = np.arange(s, s + m), []
+                while len(left):  # each against those not reached yet
+                    if not front:
+                        front, left = [int(left[0])], left[1:]
+                    x = front.pop()
+                    ok = _fits(n, sig, right, np.full(len(left), x), left)
+                    label[left[ok]] = label[x]
+                    front += left[ok].tolist()
+                    left = left[~ok]
+            yield ids, label
+
+    return _forest(work())
+
+
+def _common(row: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
+    """Common shingles of every pair of n rows, as a matrix; common shingles of many rows by a matrix product."""
+    out = np.zeros((n, n), np.float32)
+    order = np.lexsort((row, g))
+    row, g = row[order], g[order]
+    start = starts_of(g)
+    size = np.diff(np.append(start, len(g)))
+    rare = np.repeat(size <= SMALL, size)
+    a, b = _runs(starts_of(g[rare]), int(rare.sum()))
+    if len(a):
+        out += np.bincount(row[rare][a] * n + row[rare][b], minlength=n * n).reshape(n, n).astype(np.float32)
+        out += out.T.copy()
+    column = np.repeat(np.cumsum(size > SMALL) - 1, size)[~rare]
+    rows = row[~rare]
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        lo, hi = np.searchsorted(column, (k, k + 2048))
+        x = np.zeros((n, 2048), np.float32)
+        x[rows[lo:hi], column[lo:hi] - k] = 1
+        out += x @ x.T
+    return out
+
+
+def _link(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the pairs with 100 * |A and B| >= 75 * |A or B|, of each group (or pair of its blocks)."""
+
+    def similar(inter: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (inter > 0) & (100 * inter >= SIMILARITY * (x + y - inter))
+
+    def work() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for table, start in _whole_groups(it):
+            ids, text = table.column("id").to_numpy(), text_column(table, "text")
+            label = np.arange(len(ids))
+            size = np.diff(np.append(start, len(ids)))
+            group = np.repeat(np.arange(len(start)), size)
+            offsets = raw(text)[1]
+            length = np.add.reduceat(np.diff(offsets), start)
+            lo = 0
+            while lo < len(start):  # small groups many at once, up to a megabyte of text
+                hi, total = lo + 1, length[lo]
+                while size[lo] <= SMALL and hi < len(start) and size[hi] <= SMALL and total + length[hi] <= 1 << 20:
+                    total += length[hi]
+                    hi += 1
+                s = int(start[lo])
+                e = int(start[hi]) if hi < len(start) else len(ids)
+                r, g = shingles(text.slice(s, e - s))
+                have = np.bincount(r, minlength=e - s)
+                if size[lo] <= SMALL:
+                    own = mix(g ^ mix(group[s + r].astype(U)))
+                    order = np.lexsort((r, own))
+                    a, b = _runs(starts_of(own[order]), len(own))
+                    pair, inter = np.unique(r[order][a] * (e - s) + r[order][b], return_counts=True)
+                    a, b = pair // (e - s), pair % (e - s)
+                    ok = similar(inter, have[a], have[b])
+                else:
+                    inter = _common(r, g, e - s).astype(np.int64)
+                    a, b = np.nonzero(np.triu(similar(inter, have[:, None], have[None, :]), 1))
+                    ok = np.ones(len(a), bool)
+                label = _merge(label, a[ok] + s, b[ok] + s)
+                lo = hi
+            yield ids, label
+
+    return _forest(work())
+
+
+def _dealt(members: DataFrame, size: DataFrame) -> DataFrame:
+    """Members (key, id, ...) as pairs of blocks (i, j) of their key; `size` (key, blocks)."""
+    d = members.join(size, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("blocks = 1 or block <> other")
+    d = d.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("block", "other", "blocks")
+    return d
+
+
+def _blocks(n: Column) -> Column:
+    return F.ceil(n).cast("int").alias("blocks")
+
+
+def _candidates(classes: DataFrame, parts: int) -> DataFrame:
+    """(a, b): a spanning forest of the pairs that share a table's cell and agree in size and minhashes."""
+    spots = classes.select("id", F.explode("sides").alias("key"))
+    full = spots.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", _blocks(F.col("n") / BLOCK))
+    rich = _dealt(spots, full).join(classes.select("id", "n_shingles", "sig"), "id").select("key", "i", "j", "id", "n_shingles", "sig")
+    rich = rich.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    return rich.mapInArrow(_meet, "a bigint, b bigint").distinct()
+
+
+def _confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+    """(a, b): a spanning forest of the true links within the components of the candidates."""
+    group = checkpoint(connected_components(pairs).select("id", F.col("component").alias("key")))
+    per = group.join(sigs.groupBy("id").agg(F.sum("n_shingles").alias("n")), "id").groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    size = per.select("key", _blocks(F.greatest(F.col("m") / BLOCK, F.col("n") * 8 / BLOCK_BYTES)))
+    rich = _dealt(group, size).join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("key", "i", "j", "id", "text")
+    rich = rich.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    return rich.mapInArrow(_link, "a bigint, b bigint").distinct()
 
 
 SIGNED = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sig binary, sides array<bigint>"
@@ -165,7 +308,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sigs = classes.select("id", "n_shingles", "sig")
     same = members.filter("n_shingles > 0").join(classes.filter("n > 1").select("n_shingles", "f1", "f2", "id"), ["n_shingles", "f1", "f2"])
     same = same.select(F.col("doc_id").alias("b"), F.col("id").alias("a"))
-    links = checkpoint(_confirmed(_candidates(_cells(classes)), sigs, texts))
+    parts = max(parts_of(docs), 64)
+    links = checkpoint(_confirmed(checkpoint(_candidates(classes, parts)), sigs, texts, parts))
     component = checkpoint(connected_components(links))
     final = same.join(component.select(F.col("id").alias("a"), "component"), "a", "left")
     final = final.select(F.col("b").alias("id"), F.coalesce("component", "a").alias("component")).unionByName(component)

@@ -85,6 +85,28 @@ def test_minhash_group(spark):
     assert got == near_truth(rows)
 
 
+def test_minhash_siblings(spark, monkeypatch):
+    """A large group whose members are just below the threshold to each other; each has one true partner."""
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(400)]
+
+    def edited(words, n, tag):
+        w = list(words)
+        for k in rng.choice(len(w) // 5, n, replace=False):
+            w[5 * k + 2] = f"{tag}_{k}"
+        return w
+
+    rows = []
+    for i in range(300):
+        one = edited(base, 8, f"s{i}")
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(edited(one, 11, f"p{i}")))]
+    truth = near_truth(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == truth
+    monkeypatch.setattr(minhash, "BLOCK", 70)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == truth
+
+
 def test_substrings_documents(spark, docs):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     got = {r.doc_id: r for r in op5_substring_dedup(spark, "/root/testdata/sf0.001").collect()}
