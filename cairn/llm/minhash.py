@@ -32,8 +32,8 @@ from cairn.session import checkpoint
 WORDS, SIMILARITY = 5, 75
 GROUPS, ROWS = 10, 2
 HASHES = 2 * GROUPS * ROWS
-#: Pairs whose 40 one-byte minhashes agree in fewer places are no candidates: at 0.75 that is 4.3 deviations below.
-LEAST_AGREE = 18
+#: Pairs whose 40 one-byte minhashes agree in fewer places are no candidates: at 0.75 that has a chance of 4.7e-11.
+LEAST_AGREE = 11
 #: Documents, and bytes of hashes, of a block; members up to which cells and groups are gone through many at once.
 BLOCK, BLOCK_BYTES, SMALL = 512, 1 << 22, 16
 

@@ -1,5 +1,6 @@
 import re
 from hashlib import sha256
+from math import comb
 
 import numpy as np
 import pytest
@@ -85,6 +86,13 @@ def test_minhash_group(spark):
     assert got == near_truth(rows)
 
 
+def test_minhash_least_agreement():
+    """The expected loss over 1e9 links at the threshold is below one."""
+    p = minhash.SIMILARITY / 100
+    lost = sum(comb(minhash.HASHES, k) * p**k * (1 - p) ** (minhash.HASHES - k) for k in range(minhash.LEAST_AGREE))
+    assert lost * 1e9 < 1
+
+
 def test_minhash_siblings(spark, monkeypatch):
     """A large group whose members are just below the threshold to each other; each has one true partner."""
     rng = np.random.default_rng(7)
