@@ -1,13 +1,17 @@
 """License scan by conditional compression.
 
-A candidate block (a line with a word that license notices use) is compressed with zstandard alone, and with each
-template as a raw dictionary. What a template saves, as a share of the size alone, ranks the templates; the best are
-compared word by word with the block, and the one with the fewest differences is confirmed if these are few enough.
+At most k = DIFFER * t of a template's t words may be missing, so of any k + 1 different words of it a notice has one:
+these are its signs. Around each sign word of a document lies a block, of the template's length and k words more to
+either side, over line ends; if it has enough of the template's words, it is compared with the template word by word. A
+notice with differences must also save SAVES of its own size when compressed with the template as a raw dictionary.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -31,67 +35,102 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work. Public domain.",
     "proprietary": "All rights reserved.",
 }
-#: Words one of which a candidate block has; templates ranked this high are compared; the differences allowed, as a
-#: share of the template's words; and the share of its size a template must save.
-SIGNS = ("licen", "copyright", "rights reserved", "public domain", "redistribution", "spdx")
-RANKED, DIFFER, SAVES = 3, 0.2, 0.2
+#: The differences allowed, as a share of the template's words; the share of its size a template must save; and words too
+#: frequent to be signs while a template has others.
+DIFFER, SAVES = 0.2, 0.2
+COMMON = frozenset("a all and any are as at be by for from has have in is it its may not of on or that the their these this to under use was which will with without work".split())
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
-_SIGN = re.compile("|".join(map(re.escape, SIGNS)), re.I)
 
 
 def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def signs(template: list[str]) -> list[str]:
+    """Different words of a template of which every notice of it has one."""
+    return sorted(set(template), key=lambda w: (w in COMMON, -len(w), w))[: int(DIFFER * len(template)) + 1]
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         plain = dict(level=19, write_content_size=False)
         self.alone = zstandard.ZstdCompressor(**plain)
         self.each = []
+        self.places = defaultdict(list)  # sign word: (template, place in it)
         for name, text in templates.items():
             known = zstandard.ZstdCompressionDict(text.lower().encode() * 2, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.each.append((name, words(text), zstandard.ZstdCompressor(dict_data=known, **plain)))
-
-    def best(self, block: str) -> tuple[str, float, int, int, int] | None:
-        """(license, share saved, words of the template missing from the block, words of it, place of the notice's first
-        word in the block); None if no template is close."""
-        raw, mine = block.lower().encode(), words(block)
-        size = len(self.alone.compress(raw))
-        ranked = sorted(((1 - len(c.compress(raw)) / size, name, t) for name, t, c in self.each), key=lambda x: (-x[0], x[1]))
+            template = words(text)
+            for w in signs(template):
+                self.places[w] += [(len(self.each), i) for i, x in enumerate(template) if x == w]
+            self.each.append((name, template, Counter(template), zstandard.ZstdCompressor(dict_data=known, **plain)))
+
+    def _compare(self, mine: list[str], template: list[str]) -> tuple[int, int, int, int] | None:
+        """(missing, extra, first, end) of the matching stretch with the fewest differences."""
+        match = [m for m in SequenceMatcher(None, mine, template, False).get_matching_blocks() if m.size]
         found = []
-        for saved, name, template in ranked[:RANKED]:
-            match = [m for m in SequenceMatcher(None, mine, template, False).get_matching_blocks() if m.size]
-            if not match or not template:
+        for i in range(len(match)):
+            same = 0
+            for m in match[i:]:
+                same += m.size
+                first, end = match[i].a, m.a + m.size
+                found.append((len(template) - same, end - first - same, first, end))
+        return min(found, key=lambda x: (x[0] + x[1], x), default=None)
+
+    def notices(self, text: str) -> list[tuple[int, str, float, int, int, int]]:
+        """(line, license, share saved, words of the template missing from the notice, words of the notice that it has
+        not, place of the notice's first word in its line) of all notices, which do not overlap."""
+        seen, mine, at, end = {}, [], array("q"), array("q")
+        for m in _WORD.finditer(text):
+            w = m.group().lower()
+            mine.append(seen.setdefault(w, w))
+            at.append(m.start())
+            end.append(m.end())
+        if self.places.keys().isdisjoint(seen):
+            return []
+        windows = {(k, q - p) for q, w in enumerate(mine) if w in self.places for k, p in self.places[w]}
+        found = set()
+        for k, start in windows:
+            name, template, bag, known = self.each[k]
+            slack = int(DIFFER * len(template))
+            lo = max(0, start - slack)
+            block = mine[lo : start + len(template) + slack]
+            if (bag & Counter(block)).total() < len(template) - slack:
+                continue
+            missing, extra, first, stop = self._compare(block, template) or (len(template), 0, 0, 0)
+            if missing + extra > DIFFER * len(template):
                 continue
-            missing = len(template) - sum(m.size for m in match)
-            extra = match[-1].a + match[-1].size - match[0].a - sum(m.size for m in match)
-            if missing + extra <= DIFFER * len(template):
-                found.append((missing + extra, -saved, name, missing, extra, match[0].a))
-        if not found:
-            return None
-        _, saved, name, missing, extra, at = min(found)
-        return (name, -saved, missing, extra, at) if missing + extra == 0 or -saved >= SAVES else None
+            first, stop = lo + first, lo + stop
+            raw = " ".join(text[at[first] : end[stop - 1]].lower().split()).encode()
+            saved = 1 - len(known.compress(raw)) / len(self.alone.compress(raw))
+            if missing + extra == 0 or saved >= SAVES:
+                found.add((missing + extra, -saved, name, missing, extra, first, stop))
+        out, taken = [], set()
+        for _, saved, name, missing, extra, first, stop in sorted(found):
+            if taken.isdisjoint(range(first, stop)):
+                taken.update(range(first, stop))
+                begin = text.rfind("\n", 0, at[first]) + 1
+                out.append((text.count("\n", 0, begin), name, -saved, missing, extra, first - bisect_left(at, begin)))
+        return sorted(out)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, block (line number), license, saved, missing, extra, first_word: a row per confirmed notice.
+    """doc_id, block (number of the line where it begins), license, saved, missing, extra, first_word: a row per notice.
 
-    Documents without notices, with null or empty text give no rows; rows that repeat a doc_id give theirs each. Only
-    lines with a sign word are looked at, whole; everything else of a document is skipped by one pattern search.
+    Documents without notices, with null or empty text give no rows; rows that repeat a doc_id give theirs each. Of
+    notices that overlap the one with the fewest differences counts. Documents without a sign word are skipped.
     """
     chosen = templates or TEMPLATES
+    any_sign = "|".join(re.escape(w) for w in sorted({w for t in chosen.values() for w in signs(words(t))}))
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    d = d.filter(F.col("text").rlike("(?i)" + _SIGN.pattern))
+    d = d.filter(F.col("text").rlike("(?iu)" + any_sign) if any_sign else F.lit(False))
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(chosen)
         for batch, col in batches(it, "text"):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), col.to_pylist(), strict=True):
-                for i, line in enumerate(text.split("\n")):
-                    if _SIGN.search(line) and (hit := scanner.best(line)):
-                        rows.append((doc, i, *hit))
+                rows += [(doc, *hit) for hit in scanner.notices(text)]
             cols = list(zip(*rows, strict=True)) or [[]] * 7
             types = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "block", "license", "saved", "missing", "extra", "first_word"])

@@ -246,6 +246,17 @@ def test_licenses(spark, odd, none):
     assert license.scan(odd).count() == 0 and license.scan(none).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    """Notices over several lines, and templates of the caller without a word that notices commonly use."""
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the\n#   following conditions are met."
+    rows = [(1, "x\nsee: Licensed under the Apache License,\nVersion 2.0."), (2, bsd), (3, "All\nrights\n\nreserved")]
+    got = license.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.block, r.license, r.missing, r.extra, r.first_word) for r in got) == [(1, 1, "Apache-2.0", 0, 0, 1), (2, 0, "BSD-3-Clause", 0, 0, 0), (3, 0, "proprietary", 0, 0, 0)]
+    mit = {"text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"}
+    df = spark.createDataFrame([(1, "a\nPermission is hereby granted,\nfree of charge, to any person obtaining a copy of the software"), (2, "a person")], "doc_id bigint, text string")
+    assert [(r.doc_id, r.block, r.license, r.missing) for r in license.scan(df, mit).collect()] == [(1, 1, "text", 1)]
+
+
 def test_sharding(spark, odd, none):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
