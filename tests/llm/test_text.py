@@ -257,6 +257,16 @@ def test_licenses_wrapped(spark):
     assert [(r.doc_id, r.block, r.license, r.missing) for r in license.scan(df, mit).collect()] == [(1, 1, "text", 1)]
 
 
+def test_licenses_long_line(spark):
+    """A near notice counts at the end of a long line as it does alone; a line has all its notices."""
+    near = "Licensed under the Apache License, version 2."
+    prose = " ".join(f"{w}{i * i}" for i in range(20) for w in ("ordinary", "prose", "before"))[:884]
+    rows = [(1, near), (2, prose + " " + near), (3, "Released under the MIT License. " + prose + " All rights reserved. Licensed under CC BY 4.0.")]
+    got = license.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.license, r.missing) for r in got) == [(1, "Apache-2.0", 1), (2, "Apache-2.0", 1), (3, "CC-BY-4.0", 0), (3, "MIT", 0), (3, "proprietary", 0)]
+    assert len({round(r.saved, 9) for r in got if r.doc_id < 3}) == 1
+
+
 def test_sharding(spark, odd, none):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
