@@ -331,9 +331,15 @@ def _(spark, sf):
 
 @query("verify_report", f"with {FILES} select path, 'ok' as status from f")
 def _(spark, sf):
-    d = docs_tree(spark, sf, content=True)
-    again = F.sha2(F.col("content"), 256)
-    return d.select("path", F.when(F.col("hash").isNull() | (again == F.col("hash")), "ok").otherwise("corrupt").alias("status"))
+    from cairn.sources.container import decode_blocks, encode_blocks
+
+    content = docs_tree(spark, sf, content=True).select("path", "content")
+    raw = decode_blocks(encode_blocks(_assigned(spark, sf).join(content, "path"), CAP, 1, 3))
+    e = _entries(spark, sf).select("path", "size", "hash", F.get("segments", F.lit(0)).alias("s")).select("path", "size", "hash", "s.*")
+    d = e.join(raw, "block", "left")
+    piece = F.when(F.col("size") == 0, F.lit(bytearray())).otherwise(F.expr("substring(raw, cast(offset + 1 as int), cast(len as int))"))
+    same = F.coalesce(F.sha2(piece, 256) == F.col("hash"), F.lit(False))
+    return d.select("path", F.when(F.col("hash").isNull() | same, "ok").otherwise("corrupt").alias("status"))
 
 
 @query("verify_corrupt", f"with {FILES} select path from f where doc_id = 3")
