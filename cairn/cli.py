@@ -4,22 +4,27 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
+import time
 
 from pyspark.sql import functions as F
 
 from cairn import __version__
 from cairn.functions.classify import resolve
+from cairn.functions.format import human_text
 from cairn.operators.reports import by_codec, kind_counts, listing
 from cairn.session import local_session
-from cairn.sources.container import WriteOptions, block_frame, verify, write_container
+from cairn.sources.container import MAGIC, WriteOptions, block_frame, verify, write_container
 from cairn.sources.extract import ExtractOptions, cat, entries_of, extract
-from cairn.sources.filetree import FileTree
+from cairn.sources.filetree import HASHES, FileTree
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("cairn")
-    p.add_argument("-q", "--quiet", action="store_true")
+    p.add_argument("-q", "--quiet", action="store_true", help="no progress")
+    p.add_argument("--magic", default=MAGIC.decode(), help="four characters at both ends of an archive")
+    p.add_argument("--hash", choices=sorted(HASHES), default="sha256")
     p.add_argument("--version", action="version", version=__version__)
     verbs = p.add_subparsers(dest="verb", required=True)
     yes = lambda s: s.lower() in ("true", "1", "yes")
@@ -53,41 +58,53 @@ def parser() -> argparse.ArgumentParser:
 def run(argv: list[str], spark=None, out=None) -> int:
     a = parser().parse_args(argv)
     out = out or sys.stdout
+    kind = a.magic.encode(), a.hash
+    if len(kind[0]) != 4:
+        parser().error("the magic has four bytes")
+    say = lambda s: print(s, file=out)
+    note = lambda s: None if a.quiet else print(s, file=sys.stderr)
     try:
         spark = spark or local_session()
-        say = lambda s: print(s, file=out)
+        began = time.monotonic()
+        rate = lambda n: f"{human_text(n / max(time.monotonic() - began, 0.001))}/s"
         if a.verb in ("create", "c"):
             codec, level = resolve(a.preset, a.codec, a.level)
             spark.dataSource.register(FileTree)
-            reader = spark.read.format("filetree").option("paths", json.dumps(a.inputs)).option("content", "true")
+            reader = spark.read.format("filetree").option("paths", json.dumps(a.inputs)).option("content", "true").option("hash", a.hash)
             manifest = reader.option("followSymlinks", str(a.follow_symlinks).lower()).load()
-            s = write_container(manifest, a.archive, WriteOptions(codec, level, a.block_size << 20, a.dedup, a.fast_lane, a.follow_symlinks))
-            saved = s["archive_bytes"] / s["input_bytes"] if s["input_bytes"] else 0.0
-            say(f"{s['files']} files, {s['dirs']} dirs, {s['symlinks']} links; {s['input_bytes']} -> {s['archive_bytes']} bytes ({saved:.1%}), {s['blocks']} blocks, {s['deduped_files']} duplicates ({s['deduped_bytes']} bytes)")
+            note(f"writing {a.archive}")
+            s = write_container(manifest, a.archive, WriteOptions(codec, level, a.block_size << 20, a.dedup, a.fast_lane, a.follow_symlinks, *kind))
+            share = s["archive_bytes"] / s["input_bytes"] if s["input_bytes"] else 0.0
+            smaller = s["input_bytes"] / s["archive_bytes"]
+            say(f"{s['files']} files, {s['dirs']} dirs, {s['symlinks']} links; {human_text(s['input_bytes'])} -> {human_text(s['archive_bytes'])} ({share:.1%}, {smaller:.2f}x smaller), {s['blocks']} blocks, {rate(s['input_bytes'])}")
+            if s["deduped_files"]:
+                say(f"dedup: {s['deduped_files']} files, {human_text(s['deduped_bytes'])}")
         elif a.verb in ("extract", "x"):
-            s = extract(spark, a.archive, a.dir, a.paths or None, ExtractOptions(a.verify, a.overwrite, a.metadata))
-            say(f"{s['files']} files, {s['dirs']} dirs, {s['symlinks']} links, {s['bytes']} bytes")
+            note(f"extracting {a.archive}")
+            s = extract(spark, a.archive, a.dir, a.paths or None, ExtractOptions(a.verify, a.overwrite, a.metadata, *kind))
+            say(f"{s['files']} files, {s['dirs']} dirs, {s['symlinks']} links, {human_text(s['bytes'])}, {rate(s['bytes'])}")
         elif a.verb in ("list", "l"):
-            rows = entries_of(spark, a.archive).orderBy("entry_id")
+            rows = entries_of(spark, a.archive, *kind).orderBy("entry_id")
             for r in (listing(rows).select("line") if a.long else rows.select("path")).toLocalIterator():
                 say(r[0])
         elif a.verb == "info":
-            n, blocks = kind_counts(entries_of(spark, a.archive)).first(), block_frame(a.archive, spark)
+            n, blocks = kind_counts(entries_of(spark, a.archive, *kind)).first(), block_frame(a.archive, spark, *kind)
             total = blocks.agg(F.coalesce(F.sum("rlen"), F.lit(0)).alias("r"), F.coalesce(F.sum("clen"), F.lit(0)).alias("c")).first()
-            say(f"contents: {n.files} files, {n.dirs} dirs, {n.symlinks} links, {n.bytes} bytes")
+            say(f"contents: {n.files} files, {n.dirs} dirs, {n.symlinks} links, {human_text(n.bytes)}")
             if n.bytes > total.r:
-                say(f"dedup: saves {n.bytes - total.r} bytes ({(n.bytes - total.r) / n.bytes:.1%})")
-            say(f"blocks: {total.r} -> {total.c} bytes ({total.c / total.r if total.r else 0:.1%})")
+                say(f"dedup: saves {human_text(n.bytes - total.r)} ({(n.bytes - total.r) / n.bytes:.1%})")
+            say(f"blocks: {human_text(total.r)} -> {human_text(total.c)} ({total.c / total.r if total.r else 0:.1%}); archive {human_text(os.path.getsize(a.archive))}")
             for r in by_codec(blocks).collect():
-                say(f"  {r.codec_name}: {r.blocks} blocks, {r.rlen} -> {r.clen} bytes ({r.ratio:.1%})")
+                say(f"  {r.codec_name}: {r.blocks} blocks, {human_text(r.rlen)} -> {human_text(r.clen)} ({r.ratio:.1%})")
         elif a.verb == "verify":
-            checked = verify(spark, a.archive).persist()
+            note(f"verifying {a.archive}")
+            checked = verify(spark, a.archive, *kind).persist()
             bad = checked.filter(~F.col("ok")).limit(10).collect()
             if bad:
                 raise ValueError(f"checksum mismatch: {', '.join(r.path for r in bad)}")
             say(f"{checked.count()} files verified")
         else:
-            data = cat(spark, a.archive, a.path)
+            data = cat(spark, a.archive, a.path, *kind)
             getattr(out, "buffer", out).write(data)
         return 0
     except Exception as e:

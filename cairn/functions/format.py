@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed values.
 UNITS = ["KB", "MB", "GB", "TB", "PB"]
 
 
@@ -24,3 +25,12 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def octal_mode(mode: Column) -> Column:
     return F.conv(mode.bitwiseAND(511).cast("string"), 10, 8)
+
+
+def human_text(n: float) -> str:
+    """Plain-Python form of human(), for messages."""
+    n = int(n)
+    if n < 1024:
+        return f"{n} B"
+    i = min(len(UNITS), (n.bit_length() - 1) // 10)
+    return f"{n / 1024**i:.1f} {UNITS[i - 1]}"

@@ -1,18 +1,24 @@
-"""Whole-file dedup and solid-block packing. Only metadata moves; contents never take part."""
+"""Whole-file dedup and solid-block packing. Only metadata moves; contents never take part.
+
+Files have a walk_id, which is unique and breaks ties of the pack order; paths need not be unique.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.classify import sort_key
+from cairn.operators.order import ranged
+from cairn.schema import MAX_PIECE, SEGMENTS
 from cairn.session import checkpoint
 
-#: Up to so many survivors the fold runs inside the JVM in one task; beyond it the pack order is range-partitioned.
-FOLD_ROWS = 100_000
+#: Rows of a range of the pack order, which one task holds as numbers.
+PART_ROWS = 200_000
 
 
 def with_sort_key(files: DataFrame) -> DataFrame:
@@ -21,150 +27,125 @@ def with_sort_key(files: DataFrame) -> DataFrame:
 
 
 def order() -> list[Column]:
-    return [F.col(c) for c in ("lane", "ext", "dir", "name")]
-
-
-def rank_copies(files: DataFrame, dedup: bool = True) -> DataFrame:
-    """Adds rn: 1 for the first file of each content hash in pack order. Without dedup every file is a first one."""
-    files = with_sort_key(files)
-    if not dedup:
-        return files.withColumn("rn", F.lit(1).cast("bigint"))
-    return files.withColumn("rn", F.row_number().over(Window.partitionBy("hash").orderBy(*order())).cast("bigint"))
-
-
-def survivors(files: DataFrame, dedup: bool = True) -> DataFrame:
-    return rank_copies(files, dedup).filter((F.col("rn") == 1) & (F.col("size") > 0))
+    return [F.col(c) for c in ("lane", "ext", "dir", "name", "walk_id")]
 
 
-def assign_blocks(kept: DataFrame, cap: int, fast_lane: bool = True, method: str = "auto") -> DataFrame:
-    """path, lane, size, block, offset: next-fit over the pack order, a new block wherever used + size > cap or the lane changes.
+def first_copies(files: DataFrame, dedup: bool = True) -> DataFrame:
+    """Adds first_id: the walk_id of the first file of that hash in pack order; its own without dedup.
 
-    The lane stays in the order without fast_lane but no longer starts blocks.
+    The first one is a map-side combined minimum by hash, so no task holds all copies of a common file.
     """
-    rows = kept.select("path", "lane", "ext", "dir", "name", "size").withColumn("pack_lane", F.col("lane") if fast_lane else F.lit(0))
-    if method == "auto":
-        rows = checkpoint(rows)
-        method = "fold" if rows.count() <= FOLD_ROWS else "ranges"
-    return (_fold if method == "fold" else _ranges)(rows, cap)
-
-
-def _fold(rows: DataFrame, cap: int) -> DataFrame:
-    """One aggregate() over sizes in pack order that keeps only where blocks start."""
-    ranked = rows.withColumn("i", F.row_number().over(Window.orderBy(*order())))
-    item = F.struct("i", F.col("pack_lane").alias("l"), F.col("size").alias("s"))
-    zero = F.struct(F.lit(-1).alias("l"), F.lit(0).cast("bigint").alias("u"), F.array().cast("array<int>").alias("starts"))
+    files = with_sort_key(files)
+    if not dedup:
+        return files.withColumn("first_id", F.col("walk_id"))
+    first = files.groupBy("hash").agg(F.min_by("walk_id", F.struct(*order())).alias("first_id"))
+    return files.join(first, "hash").select(*files.columns, "first_id")
 
-    def step(acc, x):
-        new = (acc["l"] != x["l"]) | (acc["u"] + x["s"] > cap)
-        return F.struct(
-            x["l"].alias("l"),
-            F.when(new, x["s"]).otherwise(acc["u"] + x["s"]).alias("u"),
-            F.when(new, F.array_append(acc["starts"], x["i"])).otherwise(acc["starts"]).alias("starts"),
-        )
 
-    starts = ranked.agg(F.aggregate(F.array_sort(F.collect_list(item)), zero, step, lambda a: a["starts"]).alias("starts"))
-    starts = starts.select(F.explode("starts").alias("i"), F.lit(1).alias("start"))
-    marked = ranked.join(starts, "i", "left").withColumn("block", F.count("start").over(Window.orderBy("i")).cast("int") - 1)
-    return _with_offset(marked, "i")
+def is_copy() -> Column:
+    return F.col("walk_id") != F.col("first_id")
 
 
-def _with_offset(marked: DataFrame, by: str) -> DataFrame:
-    before = Window.partitionBy("block").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    return marked.select("path", "lane", "size", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("bigint").alias("offset"))
+def survivors(files: DataFrame, dedup: bool = True, max_piece: int = MAX_PIECE) -> DataFrame:
+    """The files whose bytes are stored, non-empty and first of their kind, in pieces of max_piece bytes at most."""
+    kept = first_copies(files, dedup).filter(~is_copy() & (F.col("size") > 0))
+    last = F.floor((F.col("size") - 1) / max_piece).cast("int")
+    pieces = kept.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
+    return pieces.withColumn("size", F.least(F.lit(max_piece), F.col("size") - F.col("piece").cast("bigint") * max_piece).cast("bigint"))
 
 
-def _ranges(rows: DataFrame, cap: int) -> DataFrame:
-    """Range-partitioned next-fit.
+def assign_blocks(kept: DataFrame, cap: int, fast_lane: bool = True, part_rows: int | None = None) -> DataFrame:
+    """path, walk_id, piece, lane, size, block, offset: next-fit over the pack order, a new block wherever
+    used + size > cap or the lane changes. The lane stays in the order without fast_lane but no longer starts blocks.
 
-    A partition's part of the answer depends on what precedes it only through the carried (lane, used), and only
-    until its first own block start. Pass one lists, for every possible first start within the first cap bytes, how
-    many blocks follow and what is carried out; the driver chains these through the partitions (one lookup each);
-    pass two assigns blocks. The sorted metadata is checkpointed, so both passes see the same partitions.
+    What a range of the order makes of the rows depends on what precedes it only through the carried (lane, used), and
+    only until its own first block start. Pass one lists what follows from each possible first start (starts that lead
+    to the same are one row, as chains of blocks soon run together); the driver chains these, one look-up a range;
+    pass two assigns blocks.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = checkpoint(
-        rows.repartitionByRange(parts, *order()).sortWithinPartitions(*order()).withColumn("pid", F.spark_partition_id())
-    )
-
-    def summary(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [f for f in frames if len(f)]
-        if not got:
-            return
-        f = pd.concat(got)
-        lanes, sizes = f.pack_lane.tolist(), f["size"].tolist()
-        n = len(sizes)
-        nxt, end = [n] * n, 0
-        used = 0
-        for i in range(n):  # two pointers: nxt[i] is the start after a block that starts at i
-            if end < i:
-                end, used = i, 0
-            while end < n and lanes[end] == lanes[i] and (end == i or used + sizes[end] <= cap):
-                used += sizes[end]
-                end += 1
-            nxt[i] = end
-            used -= sizes[i]
-        count, out_used = [0] * n, [0] * n
-        tail = 0
-        for i in range(n - 1, -1, -1):
-            tail += sizes[i]
-            count[i] = 1 + (count[nxt[i]] if nxt[i] < n else 0)
-            out_used[i] = out_used[nxt[i]] if nxt[i] < n else tail
-        before, rows_out = 0, []
-        for i in range(n):
-            rows_out.append((i, before, lanes[i], count[i], out_used[i]))
-            if before > cap or i and lanes[i] != lanes[0]:
-                break
-            before += sizes[i]
-        pid, total = int(f.pid.iloc[0]), sum(sizes)
-        yield pd.DataFrame(
-            [(pid, *r, lanes[0], lanes[-1], total) for r in rows_out],
-            columns=["pid", "i", "before", "lane_i", "blocks", "out_used", "first_lane", "last_lane", "total"],
-        )
-
-    cols = "pid int, i int, before bigint, lane_i int, blocks bigint, out_used bigint, first_lane int, last_lane int, total bigint"
-    entry: dict[int, tuple[int, int, int]] = {}
-    lane, used, base = -1, 0, 0
-    table = sorted_rows.mapInPandas(summary, cols).toPandas()
-    sizes_at = {pid: g.sort_values("i") for pid, g in table.groupby("pid")}
-    for pid in sorted(sizes_at):
-        g = sizes_at[pid]
-        entry[pid] = (lane, used, base)
-        before, lanes = g.before.tolist(), g.lane_i.tolist()
-        if lanes[0] != lane:
-            k = 0
-        else:  # the first i whose size no longer fits: the next row's prefix exceeds what is left
-            k = next((j for j in range(len(before)) if lanes[j] != lane or (before[j + 1] if j + 1 < len(before) else int(g.total.iloc[0])) + used > cap), None)
-        if k is None:
-            used += int(g.total.iloc[0])
-        else:
-            used, lane = int(g.out_used.iloc[k]), int(g.last_lane.iloc[0])
-            base += int(g.blocks.iloc[k])
+    columns = ("path", "walk_id", "piece", "lane", "ext", "dir", "name", "size")
+    rows = checkpoint(kept.select(*columns).withColumn("pack_lane", F.col("lane") if fast_lane else F.lit(0)))
+    parts = max(1, -(-rows.count() // (part_rows or PART_ROWS)))
+    in_order = ranged(rows, [*order(), F.col("piece")], parts).withColumn("pid", F.spark_partition_id())
+    entry = _chain(in_order.mapInPandas(lambda frames: _summary(frames, cap), SUMMARY).orderBy("pid", "reach").collect(), cap)
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = None
         for f in frames:
             if not len(f):
                 continue
-            if state is None:
-                lane_, used_, block = entry[int(f.pid.iloc[0])]
-                block -= 1
-            else:
-                lane_, used_, block = state
+            lane, used, block = state or entry[int(f.pid.iloc[0])]
             blocks, offsets = [], []
             for ln, s in zip(f.pack_lane.tolist(), f["size"].tolist(), strict=True):
-                if ln != lane_ or used_ + s > cap:
-                    block, used_, lane_ = block + 1, 0, ln
+                if ln != lane or used + s > cap:
+                    block, used, lane = block + 1, 0, ln
                 blocks.append(block)
-                offsets.append(used_)
-                used_ += s
-            state = (lane_, used_, block)
-            yield pd.DataFrame({"path": f.path, "lane": f.lane, "size": f["size"], "block": blocks, "offset": offsets})
+                offsets.append(used)
+                used += s
+            state = (lane, used, block)
+            yield f[["path", "walk_id", "piece", "lane", "size"]].assign(block=blocks, offset=offsets)
+
+    return in_order.mapInPandas(assign, "path string, walk_id bigint, piece int, lane int, size bigint, block int, offset bigint")
+
+
+SUMMARY = "pid int, reach bigint, blocks bigint, out_used bigint, first_lane int, last_lane int, total bigint"
+_ALWAYS = (1 << 63) - 1
 
-    return sorted_rows.mapInPandas(assign, "path string, lane int, size bigint, block int, offset bigint")
+
+def _summary(frames: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataFrame]:
+    """Of one range, a row for each run of first starts with the same outcome: blocks started, bytes used of the last.
+
+    reach: the bytes up to and with the last file of the run, so a carried `used` starts a block within the run, or
+    before it, where used + reach > cap; or always, where the run has a change of lane.
+    """
+    got = [f for f in frames if len(f)]
+    if not got:
+        return
+    pid = int(got[0].pid.iloc[0])
+    lane = np.concatenate([f.pack_lane.to_numpy() for f in got])
+    size = np.concatenate([f["size"].to_numpy() for f in got]).astype(np.int64)
+    del got
+    n, upto = len(size), np.cumsum(size)
+    change = np.append(np.flatnonzero(lane[1:] != lane[:-1]) + 1, n)
+    # the start after a block that starts at i: the first file that does not fit, or the next lane; itself always fits
+    nxt = np.searchsorted(upto, upto - size + cap, "right")
+    nxt = np.minimum(np.maximum(nxt, np.arange(n) + 1), change[np.searchsorted(change, np.arange(n), "right")])
+    count, used = [0] * (n + 1), [0] * (n + 1)
+    step, total = nxt.tolist(), int(upto[-1])
+    before = (upto - size).tolist()
+    for i in range(n - 1, -1, -1):
+        j = step[i]
+        count[i], used[i] = (count[j] + 1, used[j]) if j < n else (1, total - before[i])
+    ends = min(int(change[0]), int(np.searchsorted(upto, cap, "right")))  # no first start is later
+    rows = []
+    for i in range(min(ends, n - 1) + 1):
+        reach = _ALWAYS if i == change[0] else int(upto[i])
+        if rows and rows[-1][2:4] == (count[i], used[i]):
+            rows[-1] = (pid, reach, *rows[-1][2:])
+        else:
+            rows.append((pid, reach, count[i], used[i], int(lane[0]), int(lane[-1]), total))
+    yield pd.DataFrame(rows, columns=[c.split()[0] for c in SUMMARY.split(", ")])
+
+
+def _chain(summaries: list, cap: int) -> dict[int, tuple[int, int, int]]:
+    """(lane, used, last block) on entry to each range."""
+    entry: dict[int, tuple[int, int, int]] = {}
+    lane, used, block = -1, 0, -1
+    by: dict[int, list] = {}
+    for r in summaries:
+        by.setdefault(r.pid, []).append(r)
+    for pid, runs in sorted(by.items()):
+        entry[pid] = (lane, used, block)
+        hit = runs[0] if runs[0].first_lane != lane else next((r for r in runs if r.reach > cap - used), None)
+        if hit is None:
+            used += runs[0].total
+        else:
+            lane, used, block = hit.last_lane, hit.out_used, block + hit.blocks
+    return entry
 
 
 def block_table(assigned: DataFrame) -> DataFrame:
-    """One row per block: lane, files, rlen."""
+    """One row per block: lane, files (or pieces of files), rlen."""
     return assigned.groupBy("block").agg(
         F.min("lane").alias("lane"), F.count("*").alias("files"), F.sum("size").cast("bigint").alias("rlen")
     )
@@ -172,18 +153,11 @@ def block_table(assigned: DataFrame) -> DataFrame:
 
 def attach_segments(files: DataFrame, assigned: DataFrame, dedup: bool = True) -> DataFrame:
     """Every file with its segments: its own, its first copy's, or none where it is empty."""
-    ranked = rank_copies(files, dedup)
-    key = "hash" if dedup else "path"
-    where = (
-        ranked.filter((F.col("rn") == 1) & (F.col("size") > 0))
-        .select("path", key)
-        .join(assigned.select("path", "block", F.col("offset").alias("at")), "path")
-        .select(F.col(key).alias("k"), "block", "at")
-    )
-    seg = F.struct(F.col("block").cast("int").alias("block"), F.col("at").alias("offset"), F.col("size").alias("len"))
-    joined = ranked.join(where, (F.col(key) == F.col("k")) & (F.col("size") > 0), "left")
-    none = F.array().cast("array<struct<block:int,offset:bigint,len:bigint>>")
-    return joined.withColumn("segments", F.when(F.col("block").isNull(), none).otherwise(F.array(seg))).drop("k", "block", "at")
+    piece = F.struct("piece", F.col("block").cast("int").alias("block"), "offset", F.col("size").alias("len"))
+    of = assigned.groupBy("walk_id").agg(F.array_sort(F.collect_list(piece)).alias("s"))  # one piece, or size / max_piece
+    of = of.select(F.col("walk_id").alias("first_id"), F.transform("s", lambda x: x.dropFields("piece")).cast(SEGMENTS).alias("segments"))
+    none = F.array().cast(SEGMENTS)
+    return first_copies(files, dedup).join(of, "first_id", "left").withColumn("segments", F.coalesce("segments", none))
 
 
 def pack_scalar(items: list[tuple[int, int]], cap: int) -> list[tuple[int, int]]:

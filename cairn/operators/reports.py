@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.classify import codec_name
 from cairn.functions.format import human, octal_mode, ratio
 from cairn.functions.paths import ancestors
+from cairn.operators.order import changes
+from cairn.operators.pack import is_copy
+
+
+def kind_rank() -> Column:
+    """Index order: directories, files, links."""
+    return F.when(F.col("kind") == "dir", 0).when(F.col("kind") == "file", 1).otherwise(2)
 
 
 def long(c):
@@ -20,9 +27,9 @@ def kind_counts(entries: DataFrame) -> DataFrame:
     return entries.agg(n("file"), n("dir"), n("symlink"), long(F.coalesce(F.sum(size), F.lit(0))).alias("bytes"))
 
 
-def dedup_counts(ranked: DataFrame) -> DataFrame:
-    again = F.col("rn") > 1
-    return ranked.agg(F.count_if(again).alias("deduped_files"), long(F.coalesce(F.sum(F.when(again, F.col("size"))), F.lit(0))).alias("deduped_bytes"))
+def dedup_counts(files: DataFrame) -> DataFrame:
+    again = is_copy()
+    return files.agg(F.count_if(again).alias("deduped_files"), long(F.coalesce(F.sum(F.when(again, F.col("size"))), F.lit(0))).alias("deduped_bytes"))
 
 
 def by_codec(blocks: DataFrame) -> DataFrame:
@@ -44,13 +51,10 @@ def listing(entries: DataFrame) -> DataFrame:
     return entries.select("path", line.alias("line"))
 
 
-def cache_decodes(reads: DataFrame, order: list, groups: list | None = None) -> DataFrame:
+def cache_decodes(reads: DataFrame, order: list[str]) -> DataFrame:
     """Blocks decoded by a reader that keeps one decoded block, over reads in the given order."""
-    w = (Window.partitionBy(*groups) if groups else Window.partitionBy()).orderBy(*order)
-    changed = F.coalesce(F.lag("block").over(w) != F.col("block"), F.lit(True))
-    marked = reads.withColumn("decode", changed.cast("int"))
-    out = marked.groupBy(*groups) if groups else marked.groupBy()
-    return out.agg(F.count("*").alias("n_reads"), long(F.sum("decode")).alias("decodes"), F.countDistinct("block").alias("n_blocks"))
+    counts = changes(reads, order, "block").select(F.col("n").alias("n_reads"), F.col("changes").alias("decodes"))
+    return counts.crossJoin(reads.agg(F.countDistinct("block").alias("n_blocks")))  # one row each
 
 
 def dir_tree(entries: DataFrame) -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import classify, paths
 from cairn.functions.format import human, ratio
-from cairn.operators import pack, reports
-from cairn.plans.trees import FILES, HOSTILE, MODE_DIR, MODE_FILE, MODE_LINK, blocks_sql, docs_tree, key_sql, pages_paths, symlinks, table
+from cairn.operators import bench, pack, reports
+from cairn.operators.order import with_rank
+from cairn.plans.trees import FILES, HOSTILE, MODE_DIR, MODE_FILE, MODE_LINK, SHARED, archive_manifest, blocks_sql, docs_tree, key_sql, pages_paths, shared_paths, symlinks, table
+from cairn.schema import FOOTER_LEN, HEADER_LEN
+from cairn.session import checkpoint, scratch
+from cairn.sources.container import WriteOptions, block_frame, contents, decode_blocks, encode_blocks, read_footer, verify, write_container
 
 CAP, TINY = 65_536, 4_096
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -41,13 +46,13 @@ def b(c):
     return c.cast("bigint")
 
 
-PATHS = "a/B.JPG a/b.tar.gz .gitignore src/.env Makefile holiday/IMG_0001.JPEG clip.mp4 song.flac src/main.rs Installer.pkg archive.zip report.docx x.ts foo. ..a.b ... x.É b/photo.jpg z/a.rs a/b.py c/d.rs".split()
+PATHS = "x/Y.PNG x/y.tar.xz .profile d/.hidden Rakefile pics/P_17.WEBP trip.mkv take.opus lib/mod.go Setup.pkg pack.zip memo.docx types.ts end. ..k.l .... q.Ö n/pic.avif y/k.go m/n.rb p/q.go".split()
 
 
 # --- scans and manifests
 @query("manifest_scan", f"with {FILES} select doc_id, path, size, hash from f")
 def _(spark, sf):
-    return docs_tree(spark, sf)
+    return docs_tree(spark, sf).drop("walk_id")
 
 
 @query("raw_size", f"with {FILES} select count(*) as files, cast(sum(size) as bigint) as raw_bytes from f")
@@ -81,7 +86,7 @@ def _(spark, sf):
 @query("sort_key_rank", f"with {FILES} select path, row_number() over (order by lane, coalesce(ext, ''), dir, name) as pack_rank from f")
 def _(spark, sf):
     d = pack.with_sort_key(docs_tree(spark, sf))
-    return d.select("path", b(F.row_number().over(Window.orderBy(*pack.order()))).alias("pack_rank"))
+    return with_rank(d.select("path", "lane", "ext", "dir", "name", "walk_id"), pack.order(), "pack_rank").select("path", "pack_rank")
 
 
 @query("path_validate", f"""select path, case when path = '' then 'empty' when path[1] in ('/', '\\') then 'absolute'
@@ -169,34 +174,45 @@ def _(spark, sf):
 
 
 # --- dedup and packing
-@query("dedup_first", f"with {FILES} select path, hash, rn from r")
+@query("dedup_first", f"with {FILES} select r.path, hash, rn = 1 as first, k.path as kept_path from r join (select hash, path from r where rn = 1) k using (hash)")
 def _(spark, sf):
-    return pack.rank_copies(docs_tree(spark, sf)).select("path", "hash", "rn")
+    d = pack.first_copies(docs_tree(spark, sf))
+    kept = d.filter(~pack.is_copy()).select("first_id", F.col("path").alias("kept_path"))
+    return d.join(kept, "first_id").select("path", "hash", (~pack.is_copy()).alias("first"), "kept_path")
 
 
 @query("dedup_stats", f"with {FILES} select count(*) filter (rn > 1) as deduped_files, cast(coalesce(sum(size) filter (rn > 1), 0) as bigint) as deduped_bytes from r")
 def _(spark, sf):
-    return reports.dedup_counts(pack.rank_copies(docs_tree(spark, sf)))
+    return reports.dedup_counts(pack.first_copies(docs_tree(spark, sf)))
 
 
 @query("dedup_groups", f"with {FILES} select hash, count(*) as copies, count(distinct lane) as lanes, max(path) filter (rn = 1) as kept_path from r group by hash having count(*) > 1")
 def _(spark, sf):
-    d = pack.rank_copies(docs_tree(spark, sf)).groupBy("hash")
-    d = d.agg(F.count("*").alias("copies"), F.countDistinct("lane").alias("lanes"), F.max(F.when(F.col("rn") == 1, F.col("path"))).alias("kept_path"))
+    d = pack.first_copies(docs_tree(spark, sf)).groupBy("hash")
+    d = d.agg(F.count("*").alias("copies"), F.countDistinct("lane").alias("lanes"), F.max(F.when(~pack.is_copy(), F.col("path"))).alias("kept_path"))
     return d.filter("copies > 1")
 
 
-def _assigned(spark, sf, cap=CAP, dedup=True, fast_lane=True):
-    return pack.assign_blocks(pack.survivors(docs_tree(spark, sf), dedup), cap, fast_lane)
+def _assigned(spark, sf, cap=CAP, dedup=True, fast_lane=True, part_rows=None):
+    return pack.assign_blocks(pack.survivors(docs_tree(spark, sf), dedup), cap, fast_lane, part_rows)
 
 
-for _name, _args in {"block_assign": (CAP,), "block_assign_tiny": (TINY,), "block_assign_no_dedup": (CAP, False), "block_assign_no_fast_lane": (CAP, True, False)}.items():
+for _name, _args in {"block_assign": (CAP,), "block_assign_tiny": (TINY,), "block_assign_no_dedup": (CAP, False), "block_assign_no_fast_lane": (CAP, True, False), "block_assign_ranges": (CAP, True, True, 100), "block_assign_tiny_ranges": (TINY, True, True, 60)}.items():
     REGISTRY[_name] = (
         lambda spark, sf, a=_args: _assigned(spark, sf, *a).select("path", "lane", "size", b(F.col("block")).alias("block"), "offset"),
-        f'with {blocks_sql(*_args)} select path, lane, size, cast(block as bigint) as block, "offset" from a',
+        f'with {blocks_sql(*_args[:3])} select path, lane, size, cast(block as bigint) as block, "offset" from a',
     )
 
 
+@query("block_assign_shared_paths", f"""with recursive {FILES}, {SHARED},
+k as (select path, size, doc_id, row_number() over (order by dir, name, doc_id) as i from (select *, left(path, length(path) - 9) as dir, right(path, 8) as name, row_number() over (partition by hash order by left(path, length(path) - 9), right(path, 8), doc_id) as rn from s) where rn = 1 and size > 0),
+w(i, b, u) as (select i, 0, size from k where i = 1 union all select k.i, w.b + case when w.u + k.size > {CAP} then 1 else 0 end, case when w.u + k.size > {CAP} then k.size else w.u + k.size end from w join k on k.i = w.i + 1)
+select doc_id, path, size, cast(w.b as bigint) as block, cast(w.u - size as bigint) as "offset" from k join w using (i)""")
+def _(spark, sf):
+    a = pack.assign_blocks(pack.survivors(shared_paths(docs_tree(spark, sf))), CAP)
+    return a.select(F.col("walk_id").alias("doc_id"), "path", "size", b(F.col("block")).alias("block"), "offset")
+
+
 @query("block_table", f"with {blocks_sql(CAP)} select cast(block as bigint) as block, min(lane) as lane, count(*) as files, cast(sum(size) as bigint) as rlen from a group by block")
 def _(spark, sf):
     return pack.block_table(_assigned(spark, sf)).withColumn("block", b(F.col("block")))
@@ -207,9 +223,20 @@ def _(spark, sf):
     return _assigned(spark, sf, TINY).filter(F.col("size") >= TINY).select("path", "size", b(F.col("block")).alias("block"))
 
 
+def _packed(spark, sf, cap=CAP):
+    """(files with their segments, stored files with their places), both from one assignment."""
+    files = checkpoint(docs_tree(spark, sf))
+    assigned = checkpoint(pack.assign_blocks(pack.survivors(files), cap))
+    return pack.attach_segments(files, assigned), assigned
+
+
 def _entries(spark, sf, cap=CAP):
-    files = docs_tree(spark, sf)
-    return pack.attach_segments(files, pack.assign_blocks(pack.survivors(files), cap))
+    return _packed(spark, sf, cap)[0]
+
+
+def _flat(entries):
+    e = entries.select("path", "size", F.posexplode("segments").alias("pos", "s"))
+    return e.select("path", "size", b(F.col("pos")).alias("pos"), b(F.col("s.block")).alias("block"), F.col("s.offset").alias("offset"), F.col("s.len").alias("len"))
 
 
 _SEG = 'e as (select r.path, r.size, r.hash, a.block, a."offset", r.rn, r.lane from r left join a on a.hash = r.hash and r.size > 0)'
@@ -217,15 +244,14 @@ _SEG = 'e as (select r.path, r.size, r.hash, a.block, a."offset", r.rn, r.lane f
 
 @query("segments_flat", f'with {blocks_sql(CAP)}, {_SEG} select path, cast(0 as bigint) as pos, cast(block as bigint) as block, "offset", size as len from e where block is not null')
 def _(spark, sf):
-    e = _entries(spark, sf).select("path", F.posexplode("segments").alias("pos", "s"))
-    return e.select("path", b(F.col("pos")).alias("pos"), b(F.col("s.block")).alias("block"), F.col("s.offset").alias("offset"), F.col("s.len").alias("len"))
+    return _flat(_entries(spark, sf)).drop("size")
 
 
 @query("segment_block_join", f'with {blocks_sql(CAP)}, {_SEG}, t as (select block, cast(sum(size) as bigint) as rlen from a group by block) select path, cast(block as bigint) as block, rlen, "offset" + size <= rlen as fits from e join t using (block)')
 def _(spark, sf):
-    seg = REGISTRY["segments_flat"][0](spark, sf)
-    blocks = pack.block_table(_assigned(spark, sf)).select(b(F.col("block")).alias("block"), "rlen")
-    j = seg.join(blocks, "block", "left")
+    entries, assigned = _packed(spark, sf)
+    blocks = pack.block_table(assigned).select(b(F.col("block")).alias("block"), "rlen")
+    j = _flat(entries).join(blocks, "block", "left")
     checked = F.coalesce("rlen", F.raise_error(F.concat(F.lit("no block "), F.col("block").cast("string"))).cast("bigint"))
     return j.select("path", "block", checked.alias("rlen"), (F.col("offset") + F.col("len") <= checked).alias("fits"))
 
@@ -233,7 +259,7 @@ def _(spark, sf):
 # --- entries
 _ALL = f"""{FILES}, dirs as (select distinct array_to_string(list_slice(string_split(path, '/'), 1, n), '/') as path from f, range(1, 10) t(n) where n < len(string_split(path, '/'))),
 links as (select f.path || '.link' as path, f.path as link_target from f where doc_id in (select doc_id from labels where toxic = 1)),
-entries as (select path, 'file' as kind, size, null as link_target, {MODE_FILE} as mode from f union all select path, 'dir', 0, null, {MODE_DIR} from dirs union all select path, 'symlink', 0, link_target, {MODE_LINK} from links)"""
+entries as (select path, 'file' as kind, size, cast(null as varchar) as link_target, {MODE_FILE} as mode from f union all select path, 'dir', 0, null, {MODE_DIR} from dirs union all select path, 'symlink', 0, link_target, {MODE_LINK} from links)"""
 
 
 def _all_entries(spark, sf):
@@ -255,8 +281,8 @@ def _(spark, sf):
 
 @query("index_order", f"with {_ALL} select path, kind, row_number() over (order by case kind when 'dir' then 0 when 'file' then 1 else 2 end, path) as index_rank from entries")
 def _(spark, sf):
-    rank = F.when(F.col("kind") == "dir", 0).when(F.col("kind") == "file", 1).otherwise(2)
-    return _all_entries(spark, sf).select("path", "kind", b(F.row_number().over(Window.orderBy(rank, "path"))).alias("index_rank"))
+    e = _all_entries(spark, sf).select("path", "kind", reports.kind_rank().alias("k"))
+    return with_rank(e, ["k", "path"], "index_rank").drop("k")
 
 
 @query("list_plain", f"with {_ALL} select path from entries")
@@ -267,14 +293,13 @@ def _(spark, sf):
 _HUMAN = "case when n < 1024 then n || ' B' when n < 1048576 then printf('%.1f KB', n / 1024.0) else printf('%.1f MB', n / 1048576.0) end"
 
 
-@query("list_long", f"""with {blocks_sql(CAP)}, {_SEG}, x as (select path, 'file' as kind, size as n, block, cast(null as varchar) as link_target, {MODE_FILE} as mode from e
-  union all select f.path || '.link', 'symlink', 0, null, f.path, {MODE_LINK} from f where doc_id in (select doc_id from labels where toxic = 1))
-  select path, case kind when 'symlink' then 'l' else '-' end || to_base(mode & 511, 8) || ' ' || lpad({_HUMAN}, 10, ' ') || ' blk:' || rpad(coalesce(cast(block as varchar), '-'), 5, ' ') || ' ' || path || case when link_target is null then '' else ' -> ' || link_target end as line from x""")
+@query("list_long", f"""with {blocks_sql(CAP)}, {_SEG}, {_ALL.removeprefix(FILES + ", ")}, x as (select n.path, n.kind, n.size as n, e.block, n.link_target, n.mode from entries n left join e on e.path = n.path and n.kind = 'file')
+  select path, case kind when 'symlink' then 'l' when 'dir' then 'd' else '-' end || to_base(mode & 511, 8) || ' ' || lpad({_HUMAN}, 10, ' ') || ' blk:' || rpad(coalesce(cast(block as varchar), '-'), 5, ' ') || ' ' || path || case when link_target is null then '' else ' -> ' || link_target end as line from x""")
 def _(spark, sf):
-    files = _entries(spark, sf).select("path", F.lit("file").alias("kind"), "size", "segments", F.lit(None).cast("string").alias("link_target"), F.lit(MODE_FILE).alias("mode"))
-    none = F.array().cast(files.schema["segments"].dataType)
-    links = symlinks(spark, sf).select("path", F.lit("symlink").alias("kind"), b(F.lit(0)).alias("size"), none.alias("segments"), "link_target", F.lit(MODE_LINK).alias("mode"))
-    return reports.listing(files.unionByName(links))
+    files = _entries(spark, sf).select("path", "segments")
+    every = _all_entries(spark, sf).join(files, "path", "left")
+    seg = F.when(F.col("kind") == "file", F.col("segments")).otherwise(F.array().cast(files.schema["segments"].dataType))
+    return reports.listing(every.withColumn("segments", seg))
 
 
 @query("info_contents", f"with {_ALL} select count(*) filter (kind = 'file') as files, count(*) filter (kind = 'dir') as dirs, count(*) filter (kind = 'symlink') as symlinks, cast(sum(size) as bigint) as bytes from entries")
@@ -282,18 +307,20 @@ def _(spark, sf):
     return reports.kind_counts(_all_entries(spark, sf))
 
 
-@query("info_dedup", f"with {FILES} select logical, logical - stored as saved, case when logical = 0 then 0.0 else (logical - stored) / cast(logical as double) end as saved_ratio from (select cast(sum(size) as bigint) as logical, cast(sum(size) filter (rn = 1) as bigint) as stored from r)")
+@query("info_dedup", f"with {blocks_sql(CAP)} select logical, logical - stored as saved, case when logical = 0 then 0.0 else (logical - stored) / cast(logical as double) end as saved_ratio, true as smaller from (select (select cast(sum(size) as bigint) from f) as logical, cast(sum(size) as bigint) as stored from a)")
 def _(spark, sf):
-    d = pack.rank_copies(docs_tree(spark, sf)).agg(b(F.sum("size")).alias("logical"), b(F.sum(F.when(F.col("rn") == 1, F.col("size")))).alias("stored"))
+    blocks = _written(spark, sf, lambda at: checkpoint(block_frame(at, spark)))
+    stored = blocks.agg(b(F.sum("rlen")).alias("stored"), (F.sum("clen") < F.sum("rlen")).alias("smaller"))  # one row each
+    d = docs_tree(spark, sf).agg(b(F.sum("size")).alias("logical")).crossJoin(stored)
     saved = F.col("logical") - F.col("stored")
-    return d.select("logical", saved.alias("saved"), ratio(saved, F.col("logical")).alias("saved_ratio"))
+    return d.select("logical", saved.alias("saved"), ratio(saved, F.col("logical")).alias("saved_ratio"), "smaller")
 
 
-@query("info_by_codec", f"with {blocks_sql(CAP)} select case lane when 1 then 'zstd' else 'xz' end as codec_name, count(*) as blocks, cast(sum(rlen) as bigint) as rlen, cast(sum(rlen) as bigint) as clen, cast(1 as double) as ratio from (select block, min(lane) as lane, sum(size) as rlen from a group by block) group by 1")
+@query("info_by_codec", f"with {blocks_sql(CAP)} select case lane when 1 then 'zstd' else 'xz' end as codec_name, count(*) as blocks, cast(sum(rlen) as bigint) as rlen, true as smaller, true as ratio_agrees from (select block, min(lane) as lane, sum(size) as rlen from a group by block) group by 1")
 def _(spark, sf):
-    codec, _ = classify.lane_codec(F.col("lane"), 2, 9)
-    blocks = pack.block_table(_assigned(spark, sf)).withColumn("codec", codec).withColumn("clen", F.col("rlen"))
-    return reports.by_codec(blocks)
+    found = reports.by_codec(_written(spark, sf, lambda at: checkpoint(block_frame(at, spark)), WriteOptions(2, 1, CAP, check_block_size=False)))
+    agrees = F.col("ratio") == F.col("clen") / F.col("rlen")
+    return found.select("codec_name", "blocks", "rlen", ((F.col("clen") > 0) & (F.col("clen") < F.col("rlen"))).alias("smaller"), agrees.alias("ratio_agrees"))
 
 
 @query("total_size", f"with {FILES} select cast(sum(size) as bigint) as total_size from f")
@@ -301,21 +328,22 @@ def _(spark, sf):
     return docs_tree(spark, sf).agg(b(F.sum("size")).alias("total_size"))
 
 
-@query("write_stats", f"""with {blocks_sql(CAP)} select (select count(*) from f) as files, (select cast(sum(size) as bigint) from f) as input_bytes, (select count(*) from r where rn > 1) as deduped_files,
-  (select cast(coalesce(sum(size), 0) as bigint) from r where rn > 1) as deduped_bytes, (select count(distinct block) from a) as blocks""")
+@query("write_stats", f"""with {blocks_sql(CAP)}, {_ALL.removeprefix(FILES + ", ")} select (select count(*) from f) as files, (select count(*) from dirs) as dirs, (select count(*) from links) as symlinks, (select cast(sum(size) as bigint) from f) as input_bytes,
+  (select count(*) from r where rn > 1) as deduped_files, (select cast(coalesce(sum(size), 0) as bigint) from r where rn > 1) as deduped_bytes, (select count(distinct block) from a) as blocks""")
 def _(spark, sf):
-    ranked = pack.rank_copies(docs_tree(spark, sf))
-    again = F.col("rn") > 1
-    one = ranked.agg(F.count("*").alias("files"), b(F.sum("size")).alias("input_bytes"), F.count_if(again).alias("deduped_files"), b(F.coalesce(F.sum(F.when(again, F.col("size"))), F.lit(0))).alias("deduped_bytes"))
-    return one.crossJoin(_assigned(spark, sf).agg(F.countDistinct("block").alias("blocks")))  # one row each
+    entries = reports.kind_counts(_all_entries(spark, sf)).select("files", "dirs", "symlinks", F.col("bytes").alias("input_bytes"))
+    files = checkpoint(docs_tree(spark, sf))
+    copies = reports.dedup_counts(pack.first_copies(files))
+    blocks = pack.assign_blocks(pack.survivors(files), CAP).agg(F.countDistinct("block").alias("blocks"))
+    return entries.crossJoin(copies).crossJoin(blocks)  # one row each
 
 
 # --- reading
 @query("extract_order", f'with {blocks_sql(CAP)}, {_SEG} select path, row_number() over (order by block nulls last, "offset" nulls last, path) as read_rank from e')
 def _(spark, sf):
     s = F.get("segments", F.lit(0))
-    w = Window.orderBy(s["block"].asc_nulls_last(), s["offset"].asc_nulls_last(), "path")
-    return _entries(spark, sf).select("path", b(F.row_number().over(w)).alias("read_rank"))
+    e = _entries(spark, sf).select("path", s["block"].alias("b"), s["offset"].alias("o"))
+    return with_rank(e, [F.asc_nulls_last("b"), F.asc_nulls_last("o"), F.col("path")], "read_rank").select("path", "read_rank")
 
 
 @query("extract_stats", f"with {_ALL} select count(*) filter (kind = 'file') as files, count(*) filter (kind = 'dir') as dirs, count(*) filter (kind = 'symlink') as symlinks, cast(coalesce(sum(size), 0) as bigint) as bytes from entries where path = 'src1' or starts_with(path, 'src1/')")
@@ -329,30 +357,58 @@ def _(spark, sf):
     return reports.dir_tree(chosen).join(chosen.select("path"), "path", "left_anti")
 
 
+def _written(spark, sf, read, o=None, files=None):
+    """What `read` makes of the documents' container, which is gone afterwards."""
+    with scratch(spark) as folder:
+        at = os.path.join(folder, "docs.cairn")
+        files = docs_tree(spark, sf, content=True) if files is None else files
+        write_container(archive_manifest(files), at, o or WriteOptions(1, 3, CAP, check_block_size=False))
+        return read(at)
+
+
+def _status(spark, at):
+    return checkpoint(verify(spark, at).select("path", F.when(F.col("ok"), "ok").otherwise("corrupt").alias("status")))
+
+
 @query("verify_report", f"with {FILES} select path, 'ok' as status from f")
 def _(spark, sf):
-    from cairn.sources.container import decode_blocks, encode_blocks
+    return _written(spark, sf, lambda at: _status(spark, at))
 
-    content = docs_tree(spark, sf, content=True).select("path", "content")
-    raw = decode_blocks(encode_blocks(_assigned(spark, sf).join(content, "path"), CAP, 1, 3))
-    e = _entries(spark, sf).select("path", "size", "hash", F.get("segments", F.lit(0)).alias("s")).select("path", "size", "hash", "s.*")
-    d = e.join(raw, "block", "left")
-    piece = F.when(F.col("size") == 0, F.lit(bytearray())).otherwise(F.expr("substring(raw, cast(offset + 1 as int), cast(len as int))"))
-    same = F.coalesce(F.sha2(piece, 256) == F.col("hash"), F.lit(False))
-    return d.select("path", F.when(F.col("hash").isNull() | same, "ok").otherwise("corrupt").alias("status"))
 
+@query("verify_corrupt", f'with {blocks_sql(CAP)}, {_SEG} select path, case when block = 0 and "offset" <= 100 and "offset" + size > 100 then \'corrupt\' else \'ok\' end as status from e')
+def _(spark, sf):
+    def damaged(at):
+        with open(at, "r+b") as f:  # byte 100 of the first block, which is stored as it is
+            f.seek(HEADER_LEN + 100)
+            byte = f.read(1)
+            f.seek(HEADER_LEN + 100)
+            f.write(bytes([byte[0] ^ 1]))
+        return _status(spark, at)
+
+    return _written(spark, sf, damaged, WriteOptions(0, 0, CAP, check_block_size=False))
 
-@query("verify_corrupt", f"with {FILES} select path from f where doc_id = 3")
+
+@query("archive_layout", f"with {blocks_sql(CAP)} select count(distinct block) as blocks, true as gapless, true as sizes_add_up from a")
 def _(spark, sf):
-    d = docs_tree(spark, sf, content=True)
-    content = F.when(F.col("doc_id") == 3, F.concat("content", F.lit(bytearray(b"!")))).otherwise(F.col("content"))
-    return d.filter(F.sha2(content, 256) != F.col("hash")).select("path")
+    def layout(at):
+        blocks = block_frame(at, spark)
+        with open(at, "rb") as f:
+            start, clen, _, _ = read_footer(f)
+        total = start + clen + FOOTER_LEN == os.path.getsize(at)
+        chained = F.col("offset") == F.lit(HEADER_LEN) + F.col("before")
+        before = blocks.alias("x").join(blocks.alias("y"), F.col("y.block") < F.col("x.block"), "left").groupBy("x.block", "x.offset").agg(F.coalesce(F.sum("y.clen"), F.lit(0)).alias("before"))
+        whole = blocks.agg(F.sum("clen").alias("c"))
+        return checkpoint(before.agg(F.count("*").alias("blocks"), F.bool_and(chained).alias("gapless")).crossJoin(whole).select("blocks", "gapless", ((F.col("c") + HEADER_LEN == start) & F.lit(total)).alias("sizes_add_up")))
+
+    return _written(spark, sf, layout)
 
 
 @query("cat_one", f"with {FILES} select path, text, size from f where doc_id = 7")
 def _(spark, sf):
-    d = docs_tree(spark, sf, content=True).filter(F.col("doc_id") == 7)
-    return d.select("path", F.decode("content", "UTF-8").alias("text"), "size").limit(1)
+    files = checkpoint(docs_tree(spark, sf, content=True))
+    name = files.filter(F.col("doc_id") == 7).first().path
+    one = lambda at: checkpoint(contents(spark, at, [name]).select("path", F.decode("content", "UTF-8").alias("text"), "size"))
+    return _written(spark, sf, one, files=files)
 
 
 _READ = 'select \'storage\' as reader, cast(0 as bigint) as g, row_number() over (order by block, "offset", path) as t, block from e where block is not null'
@@ -372,10 +428,11 @@ def _(spark, sf):
   h as (select s.pattern, e.block, e.size from s join e on starts_with(e.path, s.pattern || '/') where e.block is not null)
   select pattern, count(*) as n_blocks, cast(sum(rlen) as bigint) as decoded_bytes, cast(sum(wanted) as bigint) as wanted_bytes from (select pattern, block, sum(size) as wanted from h group by pattern, block) join t using (block) group by pattern""")
 def _(spark, sf):
-    e = _entries(spark, sf).select("path", "size", F.explode("segments").alias("s")).select("path", "size", "s.block")
+    entries, assigned = _packed(spark, sf)
+    e = entries.select("path", "size", F.explode("segments").alias("s")).select("path", "size", "s.block")
     hit = F.filter(F.array(*[F.when(paths.matches(F.col("path"), F.lit(p)), F.lit(p)) for p in ("src1", "src2/en", "src3")]), lambda x: x.isNotNull())
     per = e.select(F.explode(hit).alias("pattern"), "block", "size").groupBy("pattern", "block").agg(F.sum("size").alias("wanted"))
-    blocks = pack.block_table(_assigned(spark, sf)).select("block", "rlen")
+    blocks = pack.block_table(assigned).select("block", "rlen")
     return per.join(blocks, "block").groupBy("pattern").agg(F.count("*").alias("n_blocks"), b(F.sum("rlen")).alias("decoded_bytes"), b(F.sum("wanted")).alias("wanted_bytes"))
 
 
@@ -423,27 +480,65 @@ def _(spark, sf):
     return reports.islands(cells, ["y"], "x", "v")
 
 
+@query("bench_json", f"select * from {BENCH_DUCK}")
+def _(spark, sf):
+    with scratch(spark) as folder:
+        at = os.path.join(folder, "results")
+        bench.write_results(values(spark, BENCH, BENCH_COLS), at)
+        return checkpoint(bench.read_results(spark, at))
+
+
+@query("bench_codecs", f"with {FILES} select 'docs' as corpus, tool, (select cast(sum(size) as bigint) from f) as raw_bytes, true as smaller from (values ('zip -9'), ('fast'), ('balanced'), ('max')) t(tool)")
+def _(spark, sf):
+    found = bench.measure(docs_tree(spark, sf, content=True), "docs")
+    return found.select("corpus", "tool", "raw_bytes", ((F.col("packed_bytes") > 0) & (F.col("packed_bytes") < F.col("raw_bytes")) & (F.col("compress_s") > 0) & (F.col("decompress_s") > 0)).alias("smaller"))
+
+
 # --- contents through codecs and the container
 @query("encode_decode_roundtrip", f"with {blocks_sql(CAP)} select cast(block as bigint) as block, cast(sum(a.size) as bigint) as rlen, sha256(string_agg(text, '' order by a.i)) as raw_sha256 from a join f using (path) group by block")
 def _(spark, sf):
-    from cairn.sources.container import decode_blocks, encode_blocks
-
     files = docs_tree(spark, sf, content=True)
-    members = _assigned(spark, sf).join(files.select("path", "content"), "path")
+    members = _assigned(spark, sf).join(files.select("walk_id", "content"), "walk_id")
     raw = decode_blocks(encode_blocks(members, CAP, 1, 3))
     return raw.select(b(F.col("block")).alias("block"), b(F.octet_length("raw")).alias("rlen"), F.sha2("raw", 256).alias("raw_sha256"))
 
 
+def _read_back(spark, hash_name="sha256"):
+    file = lambda c: c.select("path", b(F.octet_length("content")).alias("size"), F.sha2("content", 256).alias("sha256"))
+    return lambda at: checkpoint(file(contents(spark, at, hash_name=hash_name)))
+
+
 @query("archive_roundtrip", f"with {FILES} select path, size, hash as sha256 from f")
 def _(spark, sf):
-    import os
-    import tempfile
+    return _written(spark, sf, _read_back(spark))
 
-    from cairn.sources.container import ContainerIndex, WriteOptions, contents, write_container
 
-    at = os.path.join(tempfile.mkdtemp(prefix="container-"), "docs.cairn")
-    m = docs_tree(spark, sf, content=True).select("path", F.lit("file").alias("kind"), F.lit(MODE_FILE).alias("mode"), b(F.lit(0)).alias("mtime"), F.lit(0).alias("mtime_nanos"), "size", F.lit(None).cast("string").alias("link_target"), "content")
-    write_container(m, at, WriteOptions(1, 3, CAP, check_block_size=False))
-    spark.dataSource.register(ContainerIndex)
-    got = contents(spark, at, spark.read.format("container_index").option("path", at).load())
-    return got.select("path", b(F.octet_length("content")).alias("size"), F.sha2("content", 256).alias("sha256"))
+@query("archive_roundtrip_blake3", f"with {FILES} select path, size, hash as sha256 from f")
+def _(spark, sf):
+    return _written(spark, sf, _read_back(spark, "blake3"), WriteOptions(1, 3, CAP, check_block_size=False, hash_name="blake3"))
+
+
+@query("archive_roundtrip_shared_paths", f"with {FILES}, {SHARED} select path, size, hash as sha256 from s")
+def _(spark, sf):
+    return _written(spark, sf, _read_back(spark), files=shared_paths(docs_tree(spark, sf, content=True)))
+
+
+@query("archive_roundtrip_pieces", f"with {FILES} select path, size, hash as sha256 from f")
+def _(spark, sf):
+    """Files of more than 1,500 bytes in several segments, each piece a row of its own."""
+    size, whole = 1_500, docs_tree(spark, sf, content=True)
+    last = F.greatest(F.lit(0), F.floor((F.col("size") - 1) / size).cast("int"))
+    cut = archive_manifest(whole).join(whole.select("walk_id", "hash"), "walk_id").withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
+    cut = cut.withColumn("content", F.substring("content", F.col("piece") * size + 1, F.lit(size)))
+    with scratch(spark) as folder:
+        at = os.path.join(folder, "docs.cairn")
+        write_container(cut, at, WriteOptions(1, 3, CAP, check_block_size=False, max_piece=size))
+        return _read_back(spark)(at)
+
+
+@query("extract_last_of_path", f"with {FILES}, {SHARED} select path, arg_max(hash, (place, doc_id)) as sha256 from (select s.*, case when size = 0 then 1 else 0 end as place from s) group by path")
+def _(spark, sf):
+    """Without dedup storage order is pack order, so of one path the last document stays; empty ones come after all."""
+    files = shared_paths(docs_tree(spark, sf, content=True))
+    last = lambda at: checkpoint(contents(spark, at, last=True).select("path", F.sha2("content", 256).alias("sha256")))
+    return _written(spark, sf, last, WriteOptions(1, 3, CAP, dedup=False, check_block_size=False), files)

@@ -10,8 +10,17 @@ from cairn.functions.classify import OWN_EXTENSION, PRECOMPRESSED
 EXTENSIONS = [".txt", ".md", ".py", ".JPG", ".tar.gz", ".ts", ".zip", ""]
 MODE_FILE, MODE_DIR, MODE_LINK = 0o100644, 0o40755, 0o120777
 
-#: Paths that must be refused, or just pass, beside those of the tables.
-HOSTILE = ["a/b.txt", "/etc/passwd", "../../etc/passwd", "a/../../b", "C:/windows", "a//b", "", "../evil", "a\\b", "./a", "a/.", "a/", "a:b", "é:x"]
+#: Paths that must be refused, or just pass, beside those of the tables, by the rule each tests.
+HOSTILE = [
+    "ok/plain.md", "é:drive/is/two/bytes", "dots..inside/..x",  # safe
+    "",  # empty
+    "/rooted", "\\rooted\\too", "/../rooted",  # absolute
+    "D:relative", "z:/rooted", "q:",  # drive letters, and names that look so
+    "..", "up/../../out", "in/..", "deep/er/../x",  # parents
+    ".", "./here", "here/.", "two//slashes", "slash/at/end/",  # empty components and dots
+    "back\\slash", "mixed/back\\slash/x",  # backslashes
+    "a/./b\\c/../d", "x\\y/..", "..//\\",  # of several faults the first counts
+]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -24,18 +33,31 @@ def tree_path(doc_id: Column, source: Column, lang: Column) -> Column:
 
 
 def docs_tree(spark: SparkSession, sf: str, content: bool = False) -> DataFrame:
-    """documents as files: doc_id, path, size, hash (and content). Null text is an empty file."""
+    """documents as files: doc_id, walk_id, path, size, hash (and content). Null text is an empty file."""
     text = F.coalesce("text", F.lit(""))
     d = table(spark, sf, "documents").select(
         "doc_id", tree_path(F.col("doc_id"), F.col("source"), F.col("lang")).alias("path"), text.alias("text")
     )
     out = d.select(
-        "doc_id", "path", F.octet_length("text").cast("bigint").alias("size"), F.sha2("text", 256).alias("hash"),
+        "doc_id", F.col("doc_id").alias("walk_id"), "path", F.octet_length("text").cast("bigint").alias("size"), F.sha2("text", 256).alias("hash"),
         *([F.encode("text", "UTF-8").alias("content")] if content else []),
     )
     return out
 
 
+def shared_paths(files: DataFrame) -> DataFrame:
+    """The same files under few paths, as inputs of one base name give them: 40 names a folder."""
+    name = F.concat(F.lpad((F.col("doc_id") % 40).cast("string"), 4, "0"), F.lit(".txt"))
+    return files.withColumn("path", F.concat(F.regexp_replace("path", "[^/]*$", ""), name))
+
+
+def archive_manifest(files: DataFrame) -> DataFrame:
+    """Files with contents as write_container() takes them."""
+    none = F.lit(None).cast("string").alias("link_target")
+    stat = [F.lit("file").alias("kind"), F.lit(MODE_FILE).alias("mode"), F.lit(0).cast("bigint").alias("mtime"), F.lit(0).alias("mtime_nanos")]
+    return files.select("walk_id", "path", *stat, "size", none, "content")
+
+
 def pages_paths(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
 
@@ -65,6 +87,10 @@ FILES = f"""f as (select doc_id, path, cast(strlen(text) as bigint) as size, sha
 r as (select *, row_number() over (partition by hash order by lane, coalesce(ext, ''), dir, name) as rn from f)"""
 
 
+#: The files of FILES under shared_paths().
+SHARED = """s as (select doc_id, dir || '/' || lpad(cast(doc_id % 40 as varchar), 4, '0') || '.txt' as path, size, hash, text from f)"""
+
+
 def blocks_sql(cap: int, dedup: bool = True, fast_lane: bool = True) -> str:
     """CTEs FILES + k, w, a: a has path, lane, size, block, "offset"."""
     lane = "lane" if fast_lane else "0"

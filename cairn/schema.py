@@ -12,3 +12,5 @@ DEFAULT_BLOCK_SIZE = 64 << 20
 MIN_BLOCK_SIZE = 1 << 20
 HEADER_LEN = 16
 FOOTER_LEN = 64
+#: Bytes of a file that are one cell, and so one segment, at most (a cell ends at 2 GiB).
+MAX_PIECE = 1 << 30

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +28,30 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir as the cluster sets it; only where it is unset (tests) use a temporary folder."""
+    """Use spark.checkpoint.dir as the cluster sets it. Only where it is unset, in a local session, use a temporary
+    folder; a cluster without one is an error, as executors could not see each other's files."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder within the shared checkpoint folder, as a plain path, that goes again."""
+    ensure_checkpoint_dir(spark)
+    base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if "://" in base and not base.startswith("file:///"):
+        raise ValueError(f"{base} is no folder of a shared file system")
+    path = os.path.join(base.removeprefix("file://").removeprefix("file:"), f"scratch-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    try:
+        yield path
+    finally:
+        shutil.rmtree(path, ignore_errors=True)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

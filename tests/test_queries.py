@@ -34,16 +34,3 @@ def test_query(spark, duck, name):
     assert sorted(names) == cols
     want = sorted(repr([norm(r[names.index(c)]) for c in cols]) for r in res.fetchall())
     assert got == want
-
-
-def test_verify_report_reads_blocks(spark, monkeypatch):
-    """Files of a block that decodes to other bytes are corrupt, all others ok."""
-    from pyspark.sql import functions as F
-
-    from cairn.sources import container
-
-    decode = container.decode_blocks
-    monkeypatch.setattr(container, "decode_blocks", lambda e: decode(e).withColumn("raw", F.when(F.col("block") == 0, F.encode(F.repeat(F.lit("~"), F.octet_length("raw")), "UTF-8")).otherwise(F.col("raw"))))
-    got = {r.path: r.status for r in REGISTRY["verify_report"][0](spark, SF).collect()}
-    bad = {r.path for r in REGISTRY["segments_flat"][0](spark, SF).collect() if r.block == 0}
-    assert bad and got == {p: "corrupt" if p in bad else "ok" for p in got} and len(got) > len(bad)
