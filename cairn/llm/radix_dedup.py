@@ -1,18 +1,23 @@
 """Exact-substring dedup by a depth-limited radix sort of suffixes.
 
 A byte goes when a string of WINDOW bytes that covers it also starts earlier (smaller doc_id, or earlier in the same
-document). Suffixes need ordering only through WINDOW bytes, most significant digit first; a suffix leaves as soon as
-its group is a single one, and the groups equal through the last digit are exactly the repeated windows. The digits are
-
-1. the window's core: of its KMER-byte strings the one with the least hash, a choice that depends on the window alone,
-   so equal windows have equal cores. Neighbouring windows share a core, and travel as one record (a run);
-2. the bytes of the whole run around the core: runs equal in them are equal windows all along, and one record does;
-3. the bytes of each single window, only for runs that share their core with other runs that differ.
-
-Each pass deals fingerprints of its digit by their leading bits over the cluster. Documents are dealt once into buckets
-by doc_id; every bucket sends each value once however often it holds it (so a passage that a third of all documents
-share is a few rows), and gets back which of its values are repeated or start earlier elsewhere. Fingerprints have 64
-bits and are compared only between windows that the earlier digits have put together.
+document). Suffixes are ordered only through WINDOW bytes, by passes over groups of their own bytes, the leading ones
+first; a suffix leaves as soon as its group is a single one, and what is equal through the last byte is exactly the
+repeated windows. Every comparison is of bytes; hashes only choose where things go and which need not go anywhere.
+
+1. Each window has a core: of its KMER-byte strings the one with the least hash, a choice that depends on the window
+   alone, so equal windows have equal cores at equal places. Neighbouring windows share a core; they are a run, and travel
+   as one string. Buckets of documents send the hashes of their cores; those that no one else has leave.
+2. The remaining runs are sent with all their bytes, each distinct one once a bucket, and dealt by their cores. The task
+   sorts them: by the bytes of the core, the leading digits; then runs that share a core by all their bytes, so that equal
+   runs become one; then, where different runs are left, each window of theirs by its 100 bytes, eight at a time.
+3. A core that very many different runs share (a common line, with other text around) would be one task's. Its runs are
+   not sorted but sent again, cut into ranges of windows that share 93 bytes, and dealt by these; where even that is
+   common, window by window, where each group is of one value. So the next digits split what the first left together.
+4. Buckets are told which windows start earlier elsewhere, a bit each, and drop the bytes that these cover.
+
+Documents are shuffled once, into buckets; all passes read that shuffle. A group of the sort holds at most HOT different
+strings of each of its cores, and one record a bucket of each.
 """
 
 from __future__ import annotations
@@ -21,31 +26,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import U, constants, doc_texts, mix, plan_bytes, raw, text_column
+from cairn.llm.common import U, constants, mix, plan_bytes, raw, text_column
 
-WINDOW, KMER = 100, 64
+WINDOW, KMER = 100, 37
+#: Places of the core within a window; a run has at most so many windows, a bit each in an answer.
 SPAN = WINDOW - KMER + 1
+#: Windows whose cores' places lie in one range of so many places are dealt together, at each level of splitting.
+WIDTHS = (SPAN, 8, 1)
 CHUNK = 1 << 18
-#: Bytes of input (as Catalyst estimates them) to a bucket of documents and to a digit, and the least number of each.
-#: A bucket sends a digit one row, so rows are at most buckets times digits, and never more than records.
-BUCKET_BYTES, DIGIT_BYTES, LEAST_PARTS = 4 << 20, 32 << 20, 128
+#: Bytes of input (as Catalyst estimates them) to a bucket of documents and to a task of the sort, the least number of
+#: each, and how many different strings with one core are sorted by one task.
+BUCKET_BYTES, DIGIT_BYTES, LEAST_PARTS, HOT = 2 << 20, 16 << 20, 32, 1 << 14
 
 _T = constants(21, 256)
 _C = constants(22, 16)
 _LOW = U((1 << 20) - 1)
+I64 = np.int64
 
 
 def _hashes(b: np.ndarray) -> np.ndarray:
-    """Hash of the KMER bytes from each position, by doubling."""
+    """Hash of the KMER bytes from each position: 32 by doubling, and again shifted."""
     h, n = _T[b], 1
-    while n < KMER:
+    while n < 32:
         h = h[:-n] * _C[n.bit_length()] + h[n:]
         h ^= h >> U(29)
         n *= 2
-    return h * _C[0]
+    more = KMER - 32
+    return (h[:-more] * _C[8] + h[more:]) * _C[0]
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -57,87 +68,59 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(b: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """For pieces of the rows' bytes: (first window start, windows, core hash, run hash, hash of each window).
+    """For pieces of the rows' bytes: (first window start, windows, start of the core, hash of the core) of each run.
 
-    Starts count from b[0]; windows lie within one row. Runs come in order of their starts; the last array has the
-    windows of all runs one after another.
+    Starts count from b[0]; windows lie within one row; runs come in order of their starts.
     """
-    end_all = int(offsets[-1])
-    ends = offsets[1:][np.diff(offsets) >= WINDOW]
-    begins = offsets[:-1][np.diff(offsets) >= WINDOW]
-    at = int(offsets[0])
+    long = np.diff(offsets) >= WINDOW
+    ends, begins = offsets[1:][long], offsets[:-1][long]
+    at, end_all = int(offsets[0]), int(offsets[-1])
     while at < end_all:
         stop = min(at + CHUNK, end_all)
         x = b[at : min(stop + WINDOW - 1, end_all)]
-        m = len(x) - WINDOW + 1
+        m = min(len(x) - WINDOW + 1, stop - at)
         lo, hi = int(np.searchsorted(ends, at, "right")), int(np.searchsorted(begins, stop))
         if m > 0 and lo < hi:
-            m = min(m, stop - at)
             valid = np.zeros(m + 1, np.int32)
             np.add.at(valid, np.clip(begins[lo:hi] - at, 0, m), 1)
             np.add.at(valid, np.clip(ends[lo:hi] - WINDOW + 1 - at, 0, m), -1)
-            valid = np.cumsum(valid[:m]) > 0
-            h = _hashes(x)
-            core = _sliding_min((h & ~_LOW) | np.arange(len(h), dtype=U), SPAN)[:m] & _LOW
-            window = mix(h[:m] * _C[10] + h[WINDOW - KMER : WINDOW - KMER + m] * _C[11])
-            p = np.flatnonzero(valid)
+            p = np.flatnonzero(np.cumsum(valid[:m]))
             if len(p):
+                h = _hashes(x)
+                core = _sliding_min((h & ~_LOW) | np.arange(len(h), dtype=U), SPAN)[:m] & _LOW
                 c = core[p]
                 new = np.ones(len(p), bool)
                 new[1:] = (c[1:] != c[:-1]) | (p[1:] != p[:-1] + 1)
                 first = np.flatnonzero(new)
-                count = np.diff(np.append(first, len(p)))
-                q, lo_p = c[first], p[first]
-                hi_p = lo_p + count - 1
-                key = h[q.astype(np.int64)]
-                ctx = mix(window[lo_p] * _C[12] + window[hi_p] * _C[13] + (q - lo_p.astype(U)) * _C[14] + count.astype(U) * _C[15] + key)
-                yield lo_p + at, count, mix(key), ctx, window[p]
+                q = c[first].astype(I64)
+                yield p[first] + at, np.diff(np.append(first, len(p))), q + at, mix(h[q])
         at = stop
 
 
-def _ordered(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """(doc_id, texts, bytes, offsets) of a bucket, in order of (doc_id, text)."""
-    table = table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    col = text_column(table, "text")
-    return table.column("doc_id").to_numpy(), col, *raw(col)
+# --- blobs: one row for each two tasks that have something to tell each other
+def _blobs(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(distinct keys, for each the bytes of its part of every column, one column after another)."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    at = np.append(np.flatnonzero(np.append(True, k[1:] != k[:-1])), len(k)) if len(k) else np.zeros(1, int)
+    cols = [c[order] for c in columns]
+    return k[at[:-1]], [b"".join(c[s:e].tobytes() for c in cols) for s, e in zip(at[:-1], at[1:], strict=True)]
 
 
-def _firsts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct values, index of the first of each)."""
-    return np.unique(x, return_index=True)
+def _answer(bucket: np.ndarray, kind: str, *columns: np.ndarray) -> pa.Table:
+    to, data = _blobs(bucket, *columns)
+    return pa.table({"bucket": pa.array(to, pa.int32()), "kind": pa.array([kind] * len(data), pa.string()), "data": pa.array(data, pa.binary())})
 
 
-def _deal(bucket: int, digits: int, key: np.ndarray, *more: np.ndarray) -> pa.Table:
-    """One row for each leading digit of the keys (sorted): digit, bucket, the arrays one after another as bytes."""
-    digit = ((key >> U(32)) * U(digits)) >> U(32)
-    order = np.argsort(digit, kind="stable")
-    d = digit[order].astype(np.int32)
-    at = np.append(np.flatnonzero(np.append(True, d[1:] != d[:-1])), len(d)) if len(d) else np.zeros(1, int)
-    cols = [a[order] for a in (key, *more)]
-    blobs = [b"".join(c[s:e].tobytes() for c in cols) for s, e in zip(at[:-1], at[1:], strict=True)]
-    return pa.table({"digit": pa.array(d[at[:-1]], pa.int32()), "bucket": pa.array([bucket] * len(blobs), pa.int32()), "data": pa.array(blobs, pa.binary())})
+def _told(table: pa.Table, kind: str) -> list[memoryview]:
+    return [memoryview(d.as_buffer()) for k, d in zip(table.column("kind"), table.column("data"), strict=True) if k.as_py() == kind]
 
 
-def _gather(table: pa.Table, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(bucket of each record, arrays) from the rows of one digit."""
-    parts = [np.frombuffer(x.as_buffer(), U).reshape(width, -1) for chunk in table.column("data").chunks for x in chunk]
-    n = np.array([p.shape[1] for p in parts], np.int64)
-    return np.repeat(table.column("bucket").to_numpy(), n), [np.concatenate([p[i] for p in parts]) for i in range(width)]
+ROWS, TOLD, DIGIT = "digit int, bucket int, data binary", "bucket int, kind string, data binary", "digit"
 
 
-def _reply(bucket: np.ndarray, kind: str, *arrays: np.ndarray) -> pa.Table:
-    order = np.argsort(bucket, kind="stable")
-    b = bucket[order]
-    at = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b)) if len(b) else np.zeros(1, int)
-    cols = [a[order] for a in arrays]
-    blobs = [b"".join(c[s:e].tobytes() for c in cols) for s, e in zip(at[:-1], at[1:], strict=True)]
-    return pa.table({"bucket": pa.array(b[at[:-1]], pa.int32()), "kind": pa.array([kind] * len(blobs), pa.string()), "data": pa.array(blobs, pa.binary())})
-
-
-def _told(table: pa.Table, kind: str) -> np.ndarray:
-    """The values of one kind that a bucket was told, sorted."""
-    got = [np.frombuffer(d.as_buffer(), U) for k, d in zip(table.column("kind"), table.column("data"), strict=True) if k.as_py() == kind]
-    return np.sort(np.concatenate(got)) if got else np.zeros(0, U)
+def _digit(h: np.ndarray, digits: int) -> np.ndarray:
+    return (((h >> U(32)) * U(digits)) >> U(32)).astype(np.int32)
 
 
 def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -148,150 +131,261 @@ def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[i] == x
 
 
-def _all_runs(b: np.ndarray, offsets: np.ndarray, opened: np.ndarray | None = None) -> list[np.ndarray]:
-    """All runs of a bucket: start, windows, core, run hash, and the hashes of the windows of those in `opened`."""
-    got = [[] for _ in range(5)]
-    for start, count, core, ctx, window in runs(b, offsets):
-        some = window[:0] if opened is None else window[np.repeat(_within(ctx, opened), count)]
-        for x, y in zip(got, (start, count, core, ctx, some), strict=True):
-            x.append(y)
-    return [np.concatenate(g) if g else np.zeros(0, np.int64 if i < 2 else U) for i, g in enumerate(got)]
-
-
-def _pass1(digits: int):
-    def cores(key: tuple, docs: pa.Table) -> pa.Table:
-        _, _, b, offsets = _ordered(docs)
-        return _deal(key[0].as_py(), digits, np.unique(_all_runs(b, offsets)[2]))
+class _Bucket:
+    """The documents of a bucket in order, and their runs."""
+
+    def __init__(self, docs: pa.Table, keep: int):
+        order = pc.sort_indices(docs.select(["doc_id", "tie", "text"]), [(c, "ascending") for c in ("doc_id", "tie", "text")])
+        self.table = docs.take(order)
+        self.text = text_column(self.table, "text")
+        self.b, self.offsets = raw(self.text)
+        self.ids, self.ties = self.table.column("doc_id").to_numpy(), self.table.column("tie").to_numpy()
+        got = list(runs(self.b, self.offsets)) if len(self.ids) else []
+        start, count, self.core, h = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, U if i == 3 else I64) for i in range(4))
+        self.hash = h & U(keep)
+        self.high = self.core - start  # the core's place in the first window; in the last it is low
+        self.low = self.high - count + 1
+
+    def levels(self, told: pa.Table, upto: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """At each level the records (core, high, low), the hash they are dealt by, and for each the first one equal to it."""
+        known = [np.frombuffer(d, U) for d in _told(told, "core")]
+        value, n = np.unique(self.hash, return_counts=True)
+        some = _within(self.hash, np.sort(np.concatenate(known)) if known else value[:0]) | _within(self.hash, value[n > 1])
+        core, high, low, h = (x[some] for x in (self.core, self.high, self.low, self.hash))
+        data = memoryview(self.b)
+        for level in range(upto + 1):
+            seen: dict[bytes, int] = {}
+            spans = zip((core - high).tolist(), (core + WINDOW - low).tolist(), high.tolist(), strict=True)
+            same = np.array([seen.setdefault((bytes(data[s:e]), p), i) for i, (s, e, p) in enumerate(spans)], I64)
+            del seen
+            yield core, high, low, h, same
+            if level < upto:
+                split = [np.frombuffer(d, np.uint32) for d in _told(told, f"split{level}")]
+                first = np.flatnonzero(same == np.arange(len(same)))
+                pick = first[np.sort(np.concatenate(split))] if split else first[:0]
+                core, high, low, h = self.cut(core[pick], high[pick], low[pick], WIDTHS[level + 1])
+
+    def cut(self, core: np.ndarray, high: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+        """The records as those for each range of `width` places, and the hashes of the bytes that a range shares."""
+        n = high // width - low // width + 1
+        at = np.repeat(low // width, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        core, high, low = np.repeat(core, n), np.minimum(np.repeat(high, n), at * width + width - 1), np.maximum(np.repeat(low, n), at * width)
+        h, weight = np.zeros(len(core), U), constants(23, WINDOW)
+        for s in range(0, len(core), 1 << 14):
+            begin = core[s : s + (1 << 14)] - at[s : s + (1 << 14)] * width
+            for k in range(WINDOW + 1 - width):
+                h[s : s + (1 << 14)] += _T[self.b[begin + k]] * weight[k]
+        return core, high, low, mix(h + at.astype(U) * _C[9])
+
+
+def _cores(digits: int, keep: int):
+    def find(key: tuple, docs: pa.Table) -> pa.Table:
+        h = np.unique(_Bucket(docs, keep).hash)
+        to, data = _blobs(_digit(h, digits), h)
+        return pa.table({"digit": pa.array(to, pa.int32()), "bucket": pa.array([key[0].as_py()] * len(to), pa.int32()), "data": pa.array(data, pa.binary())})
 
     def repeated(key: tuple, rows: pa.Table) -> pa.Table:
-        bucket, (core,) = _gather(rows, 1)
-        value, n = np.unique(core, return_counts=True)
-        several = _within(core, value[n > 1])
-        return _reply(bucket[several], "core", core[several])
-
-    return cores, repeated
-
-
-def _candidates(core: np.ndarray, told: np.ndarray) -> np.ndarray:
-    """Which runs have a core that another run has, here or in another bucket."""
-    value, n = np.unique(core, return_counts=True)
-    return _within(core, told) | _within(core, value[n > 1])
-
-
-def _pass2(digits: int):
-    def contexts(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
-        ids, _, b, offsets = _ordered(docs)
-        start, _, core, ctx, _ = _all_runs(b, offsets)
-        keep = _candidates(core, _told(told, "core"))
-        start, core, ctx = start[keep], core[keep], ctx[keep]
-        _, i = _firsts(ctx)
-        doc = ids[np.searchsorted(offsets, start[i], "right") - 1].view(U)
-        return _deal(key[0].as_py(), digits, core[i], ctx[i], doc)
-
-    def resolve(key: tuple, rows: pa.Table) -> pa.Table:
-        bucket, (core, ctx, doc) = _gather(rows, 3)
-        order = np.lexsort((doc.view(np.int64), ctx, core))
-        bucket, core, ctx = bucket[order], core[order], ctx[order]
-        new_core = np.append(True, core[1:] != core[:-1])
-        first = new_core | np.append(True, ctx[1:] != ctx[:-1])  # the earliest run with these bytes
-        group = np.cumsum(new_core) - 1
-        several = np.bincount(group, first)[group] > 1
-        return pa.concat_tables([_reply(bucket[~first], "run", ctx[~first]), _reply(bucket[first & several], "open", ctx[first & several])])
-
-    return contexts, resolve
-
-
-def _opened(b: np.ndarray, offsets: np.ndarray, told: pa.Table):
-    """(start and windows of each run, whether it starts earlier here or elsewhere; start and key of each window of the
-    runs that are open, the first of theirs in this bucket)."""
-    known = _told(told, "open")
-    start, count, core, ctx, window = _all_runs(b, offsets, known)
-    first = np.zeros(len(ctx), bool)
-    first[_firsts(ctx)[1]] = True
-    held = _within(ctx, known)  # the windows there are
-    own = np.repeat(first[held], count[held])
-    value = mix(window[own] + np.repeat(core[held], count[held])[own] * _C[9])
-    begin = (np.repeat(start[held], count[held]) + _place(count[held]))[own]
-    return start, count, ~first | _within(ctx, _told(told, "run")), begin, value
-
-
-def _pass3(digits: int):
-    def windows(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
-        ids, _, b, offsets = _ordered(docs)
-        *_, begin, value = _opened(b, offsets, told)
-        value, i = _firsts(value)
-        doc = ids[np.searchsorted(offsets, begin[i], "right") - 1].view(U)
-        return _deal(key[0].as_py(), digits, value, doc)
-
-    def resolve(key: tuple, rows: pa.Table) -> pa.Table:
-        bucket, (value, doc) = _gather(rows, 2)
-        order = np.lexsort((doc.view(np.int64), value))
-        bucket, value = bucket[order], value[order]
-        later = np.append(False, value[1:] == value[:-1])
-        return _reply(bucket[later], "window", value[later])
-
-    return windows, resolve
-
-
-def _place(count: np.ndarray) -> np.ndarray:
-    """0, 1, ... within each of consecutive groups of these sizes."""
-    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-
-
-def _pass4(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
-    ids, _, b, offsets = _ordered(docs)
-    start, count, gone, begin, value = _opened(b, offsets, told)
-    again = np.ones(len(value), bool)
-    again[_firsts(value)[1]] = False
-    spots, base = begin[again | _within(value, _told(told, "window"))], int(offsets[0])
-    change = np.zeros(int(offsets[-1]) - base + 1, np.int32)
-    for s, e in ((start[gone], start[gone] + count[gone] - 1), (spots, spots)):
-        np.add.at(change, s - base, 1)
-        np.add.at(change, e - base + WINDOW, -1)
-    covered = np.cumsum(change[:-1], dtype=np.int32) > 0
-    kept, spans = [], []
-    for r in range(len(ids)):
-        lo, hi = int(offsets[r]), int(offsets[r + 1])
-        c = covered[lo - base : hi - base]
-        if not c.any():
-            kept.append(b[lo:hi].tobytes())
-            spans.append([])
+        parts = [np.frombuffer(x.as_buffer(), U) for chunk in rows.column("data").chunks for x in chunk]
+        bucket, h = np.repeat(rows.column("bucket").to_numpy(), [len(p) for p in parts]), np.concatenate(parts)
+        value, n = np.unique(h, return_counts=True)
+        several = _within(h, value[n > 1])
+        return _answer(bucket[several], "core", h[several])
+
+    return find, repeated
+
+
+def _msd(data: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For strings of `data`, of one length within a group, a number that those equal to each other have in common;
+    -1 for one that is equal to no other of its group. Digits are eight bytes; single ones leave after each."""
+    every = np.ndarray((len(data) - 7,), ">u8", data, 0, (1,))  # the eight bytes from each position
+    out = np.full(len(start), -1, I64)
+    alive = np.argsort(group, kind="stable")
+    now = group[alive]
+    for at in range(-8, int(length.max(initial=0)), 8):
+        if at < 0:  # the group is a digit too
+            word = np.zeros(len(alive), U)
+        else:
+            short = np.clip(at + 8 - length[alive], 0, 8)
+            word = every[start[alive] + np.where(short < 8, at, 0)].astype(U)
+            part = short > 0
+            word[part] = np.where(short[part] == 8, U(0), word[part] >> (U(8) * np.minimum(short[part], 7).astype(U)))
+            order = np.lexsort((word, now))
+            alive, now, word = alive[order], now[order], word[order]
+        new = np.append(True, (now[1:] != now[:-1]) | (word[1:] != word[:-1]))[: len(alive)]
+        size = np.diff(np.append(np.flatnonzero(new), len(alive)))
+        many = np.repeat(size > 1, size)
+        alive, now = alive[many], (np.cumsum(new) - 1)[many]
+        if not len(alive):
+            return out
+    out[alive] = now
+    return out
+
+
+def _later(group: np.ndarray, *order: np.ndarray) -> np.ndarray:
+    """Which members of groups (-1: none) are not the first of theirs in the order of these columns."""
+    member = np.flatnonzero(group >= 0)
+    by = np.lexsort((*(o[member] for o in order[::-1]), group[member]))
+    g = group[member][by]
+    out = np.zeros(len(group), bool)
+    out[member[by]] = np.append(False, g[1:] == g[:-1])[: len(g)]
+    return out
+
+
+def _send(level: int, digits: int, keep: int):
+    def work(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
+        none = pa.table({"digit": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
+        if not len(docs) or level and not _told(told, f"split{level - 1}"):
+            return none
+        bucket = _Bucket(docs, keep)
+        core, high, low, h, same = list(bucket.levels(told, level))[-1]
+        first = np.flatnonzero(same == np.arange(len(same)))
+        core, high, low = core[first], high[first], low[first]
+        row = np.searchsorted(bucket.offsets, core, "right") - 1
+        digit = _digit(mix(h[first]), digits)
+        order = np.argsort(digit, kind="stable")
+        at = np.append(np.flatnonzero(np.append(True, digit[order][1:] != digit[order][:-1])), len(order)) if len(order) else np.zeros(1, int)
+        columns = [np.arange(len(first), dtype=np.uint32), bucket.ids[row], bucket.ties[row], high.astype(np.uint8), low.astype(np.uint8)]
+        begin, end, data = (core - high).tolist(), (core + WINDOW - low).tolist(), memoryview(bucket.b)
+        blobs = []
+        for s, e in zip(at[:-1], at[1:], strict=True):
+            part = order[s:e]
+            strings = [data[begin[i] : end[i]] for i in part.tolist()]
+            blobs.append(b"".join([np.uint32(len(part)).tobytes(), *(c[part].tobytes() for c in columns), *strings]))
+        return pa.table({"digit": pa.array(digit[order][at[:-1]], pa.int32()), "bucket": pa.array([key[0].as_py()] * len(blobs), pa.int32()), "data": pa.array(blobs, pa.binary())})
+
+    return work
+
+
+def _records(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """(bucket, number in the bucket, doc_id, tie, high, low, start of the string) of each record, and the strings."""
+    cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+    strings, n = [], []
+    for x in (x for chunk in rows.column("data").chunks for x in chunk):
+        data = x.as_buffer()
+        k = int(np.frombuffer(data, np.uint32, 1)[0])
+        at = 4
+        for c, t in zip(cols, (np.uint32, I64, np.int32, np.uint8, np.uint8), strict=True):
+            c.append(np.frombuffer(data, t, k, at))
+            at += k * np.dtype(t).itemsize
+        strings.append(np.frombuffer(data, np.uint8, offset=at))
+        n.append(k)
+    number, doc, tie, high, low = (np.concatenate(c) for c in cols)
+    high, low = high.astype(I64), low.astype(I64)
+    size = WINDOW + high - low
+    return np.repeat(rows.column("bucket").to_numpy(), n), number, doc, tie, high, low, np.cumsum(size) - size, np.concatenate([*strings, np.zeros(8, np.uint8)])
+
+
+def _sort(level: int, hot: int):
+    width = WIDTHS[level]
+
+    def work(key: tuple, rows: pa.Table) -> pa.Table:
+        bucket, number, doc, tie, high, low, start, data = _records(rows)
+        count = high - low + 1
+        mask = np.zeros(len(number), U)
+        place = low // width * width
+        shared = np.full(len(number), WINDOW + 1 - width)
+        group = _msd(data, start + high - place, shared, place)
+        member = np.flatnonzero(group >= 0)
+        equal = np.full(len(number), -1, I64)
+        equal[member] = _msd(data, start[member], WINDOW - 1 + count[member], (group[member] * SPAN + high[member]) * SPAN + low[member])
+        again = _later(equal, doc, tie, number)
+        mask[again] = ~U(0) >> (U(64) - count[again].astype(U))
+        one = np.flatnonzero((group >= 0) & ~again)  # of equal ones the first
+        n = np.bincount(group[one], minlength=1)
+        large = (n > hot) & (width > 1)
+        split = one[large[group[one]]]
+        left = one[(n > 1)[group[one]] & ~large[group[one]]]
+        left = left[np.argsort(group[left], kind="stable")]
+        done = 0
+        while done < len(left):  # some groups at a time, each whole
+            upto = int(np.searchsorted(np.cumsum(count[left[done:]]), 1 << 18)) + done
+            upto = int(np.searchsorted(group[left], group[left[min(upto, len(left) - 1)]], "right"))
+            some = left[done:upto]
+            of = np.repeat(some, count[some])
+            i = np.arange(len(of)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
+            same = _msd(data, start[of] + i, np.full(len(of), WINDOW), group[of])
+            late = _later(same, doc[of], tie[of], number[of])
+            np.bitwise_or.at(mask, of[late], U(1) << i[late].astype(U))
+            done = upto
+        some = np.flatnonzero(mask)
+        return pa.concat_tables([_answer(bucket[some], f"mask{level}", mask[some], number[some]), _answer(bucket[split], f"split{level}", number[split])])
+
+    return work
+
+
+def _covered(bucket: _Bucket, told: pa.Table) -> np.ndarray:
+    """Which bytes of the bucket lie in a window that starts earlier somewhere."""
+    begins = np.zeros(len(bucket.b) + 1, bool)
+    for level, (core, high, low, _, same) in enumerate(bucket.levels(told, len(WIDTHS) - 1)):
+        if not len(core):
             continue
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], c, [False]]).astype(np.int8)))
-        spans.append([{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)])
-        kept.append(b[lo:hi][~c].tobytes())
-    return pa.table(
-        {
-            "doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(np.diff(offsets), pa.int64()),
+        mask = np.zeros(len(core), U)
+        first = same == np.arange(len(core))
+        mask[~first] = ~U(0) >> (U(63) - (high - low)[~first].astype(U))
+        place = np.flatnonzero(first)
+        for d in _told(told, f"mask{level}"):
+            n = len(d) // 12
+            mask[place[np.frombuffer(d, np.uint32, n, 8 * n)]] = np.frombuffer(d, U, n)
+        r, i = np.nonzero(np.unpackbits(mask.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        begins[(core - high)[r] + i] = True
+    total = np.cumsum(begins, dtype=np.int32)
+    out = total[:-1] > 0
+    out[WINDOW:] = total[WINDOW:-1] > total[: -1 - WINDOW]
+    return out
+
+
+def _remove(keep: int, more: bool):
+    def work(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
+        bucket = _Bucket(docs, keep)
+        gone = _covered(bucket, told)
+        kept, spans, b = [], [], bucket.b
+        for lo, hi in zip(bucket.offsets[:-1].tolist(), bucket.offsets[1:].tolist(), strict=True):
+            c = gone[lo:hi]
+            if not c.any():
+                kept.append(b[lo:hi].tobytes())
+                spans.append([])
+                continue
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], c, [False]]).astype(np.int8)))
+            spans.append([{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)])
+            kept.append(b[lo:hi][~c].tobytes())
+        out = {
+            "doc_id": pa.array(bucket.ids, pa.int64()), "n_bytes": pa.array(np.diff(bucket.offsets), pa.int64()),
             "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.binary()),
-        }
-    )
+        }
+        if more:
+            struct = pa.concat_arrays(bucket.table.column("more").chunks) if len(bucket.ids) else pa.array([], bucket.table.column("more").type)
+            out["more"] = pa.StructArray.from_arrays(struct.flatten(), fields=[f.with_nullable(True) for f in struct.type])
+        return pa.table(out)
+
+    return work
 
 
 _LEAST = -(1 << 63)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, spans (removed, start to end in bytes), kept (the remaining bytes): one row per input row.
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None, hot: int = HOT, hash_bits: int = 64) -> DataFrame:
+    """doc_id, n_bytes, spans (removed, start to end in bytes), kept (the remaining bytes): one row per input row, and
+    with `carry` its columns of these names in the struct `more`.
 
-    Null text is empty, and a text of fewer than 100 bytes loses nothing. Rows that repeat a doc_id come in order of
-    their texts; of equal rows one counts as first. A null doc_id is before all others. Other columns take no part.
+    Null text is empty, and a text of fewer than 100 bytes loses nothing. Rows that repeat a doc_id come in order of a
+    hash of their texts; of equal rows one counts as first. A null doc_id is before all others. Other columns take no
+    part. Results do not depend on `hot` (different strings with one core that a task sorts) and `hash_bits` (of the
+    hashes by which cores are found again); tests make both small.
     """
-    size = plan_bytes(docs)
+    size, keep = plan_bytes(docs), (1 << hash_bits) - 1
     buckets, digits = max(LEAST_PARTS, size // BUCKET_BYTES), max(LEAST_PARTS, size // DIGIT_BYTES)
-    d = doc_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_LEAST)))
-    d = d.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text")
+    more = [F.struct(*[F.col(c) for c in carry]).alias("more")] if carry else []
+    d = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LEAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
+    tie = F.xxhash64("text").cast("string")
+    d = d.withColumn("tie", F.hash(tie)).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)).cast("int"))
     d = d.repartition(buckets, "bucket")  # the one shuffle of the texts; every pass reads it again
-    told, rows, digit = "bucket int, kind string, data binary", "digit int, bucket int, data binary", "digit"
-    by_bucket = lambda x: x.groupBy("bucket")
-    find, answer = _pass1(digits)
-    known = by_bucket(d).applyInArrow(find, rows).groupBy(digit).applyInArrow(answer, told)
-    find, answer = _pass2(digits)
-    runs_ = by_bucket(d).cogroup(by_bucket(known)).applyInArrow(find, rows).groupBy(digit).applyInArrow(answer, told)
-    find, answer = _pass3(digits)
-    single = by_bucket(d).cogroup(by_bucket(runs_)).applyInArrow(find, rows).groupBy(digit).applyInArrow(answer, told)
-    said = runs_.unionByName(single)
-    out = by_bucket(d).cogroup(by_bucket(said)).applyInArrow(
-        _pass4, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
-    )
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(_LEAST)))
+    by = lambda x: x.groupBy("bucket")
+    hold = lambda x: x.repartition(buckets, "bucket")  # noqa: E731  (answers are made once, and read by several passes)
+    find, repeated = _cores(digits, keep)
+    told = hold(by(d).applyInArrow(find, ROWS).groupBy(DIGIT).applyInArrow(repeated, TOLD))
+    for level in range(len(WIDTHS)):
+        sent = by(d).cogroup(by(told)).applyInArrow(_send(level, digits, keep), ROWS)
+        told = told.unionByName(hold(sent.groupBy(DIGIT).applyInArrow(_sort(level, hot), TOLD)))
+    out = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
+    out += f", more {d.schema['more'].dataType.simpleString()}" if carry else ""
+    return by(d).cogroup(by(told)).applyInArrow(_remove(keep, bool(carry)), out).withColumn("doc_id", F.nullif("doc_id", F.lit(_LEAST)))

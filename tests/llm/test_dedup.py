@@ -131,6 +131,30 @@ def test_substrings_odd(odd, odd_rows, none):
     assert radix_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize(("hot", "hash_bits"), [(1 << 14, 6), (2, 64), (1, 5), (0, 64)])
+def test_substrings_whatever_the_plan(spark, odd, odd_rows, hot, hash_bits):
+    """Few-bit hashes, so that different cores meet, and a bound on a task's strings that sends most of them on to the
+    next digits, leave the result as it is."""
+    rng = np.random.default_rng(9)
+    letters = np.frombuffer(b"abcd", np.uint8)
+    text = lambda n: letters[rng.integers(0, 4, n)].tobytes().decode()
+    line, passage = text(70), text(300)
+    rows = [(i, text(int(rng.integers(0, 200))) + line + text(int(rng.integers(1, 120)))) for i in range(60)]
+    rows += [(i, text(150) + passage[int(rng.integers(0, 40)) : 300 - int(rng.integers(0, 40))] + text(90)) for i in range(60, 90)]
+    rows += [(i, passage) for i in range(90, 95)] + [(95, line * 9), (96, text(400)), (97, "z" * 350), (None, passage[50:250])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for some, frame in ((rows, df), (odd_rows, odd)) if hot == 1 else ((rows, df),):
+        got = radix_dedup.remove_repeats(frame, hot=hot, hash_bits=hash_bits).collect()
+        assert sorted((r.doc_id if r.doc_id is not None else -(1 << 63), r.n_bytes, bytes(r.kept)) for r in got) == sorted(removed_truth(some))
+        assert all(r.n_bytes == len(r.kept) + sum(s.end - s.start for s in r.spans) for r in got)
+
+
+def test_substrings_carry(spark, odd):
+    got = radix_dedup.remove_repeats(odd, ["lang", "kind", "doc_id", "text"]).collect()
+    assert sorted(map(str, odd.select("lang", "kind", "doc_id", "text").collect())) == sorted(str(r.more) for r in got)
+    assert all(r.more.doc_id == r.doc_id and len((r.more.text or "").encode()) == r.n_bytes for r in got)
+
+
 def test_substrings_pieces(spark):
     """Repeats across the pieces in which long texts are hashed, at every distance from their borders."""
     rng = np.random.default_rng(5)
