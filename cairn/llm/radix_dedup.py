@@ -14,7 +14,7 @@ repeated windows. Every comparison is of bytes; hashes only choose where things
 3. A core that very many different runs share (a common line, with other text around) would be one task's. Its runs are
    not sorted but sent again, cut into ranges of windows that share 93 bytes, and dealt by these; where even that is
    common, window by window, where each group is of one value. So the next digits split what the first left together.
-4. Buckets are told which windows start earlier elsewhere, a bit each, and drop the bytes that these cover.
+4. Buckets are told which of their windows start earlier elsewhere, a bit each, and drop the bytes that these cover.
 
 Documents are shuffled once, into buckets; all passes read that shuffle. A group of the sort holds at most HOT different
 strings of each of its cores, and one record a bucket of each.
@@ -40,23 +40,28 @@ WIDTHS = (SPAN, 8, 1)
 CHUNK = 1 << 18
 #: Bytes of input (as Catalyst estimates them) to a bucket of documents and to a task of the sort, the least number of
 #: each, and how many different strings with one core are sorted by one task.
-BUCKET_BYTES, DIGIT_BYTES, LEAST_PARTS, HOT = 2 << 20, 16 << 20, 32, 1 << 14
+BUCKET_BYTES, DIGIT_BYTES, LEAST_PARTS, HOT = 2 << 20, 4 << 20, 32, 1 << 14
 
 _T = constants(21, 256)
-_C = constants(22, 16)
+_C = constants(22, 17)
 _LOW = U((1 << 20) - 1)
 I64 = np.int64
 
 
+def _words(b: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position as one number, the first byte leading."""
+    return np.ndarray((max(0, len(b) - 7),), ">u8", np.ascontiguousarray(b), 0, (1,))
+
+
 def _hashes(b: np.ndarray) -> np.ndarray:
-    """Hash of the KMER bytes from each position: 32 by doubling, and again shifted."""
-    h, n = _T[b], 1
-    while n < 32:
-        h = h[:-n] * _C[n.bit_length()] + h[n:]
+    """Hash of the KMER bytes from each position: of eight, 16 and 32, and of 32 twice, shifted."""
+    h = _words(b).astype(U) * _C[0]
+    h ^= h >> U(31)
+    for n in (8, 16):
+        h = h[:-n] * _C[n] + h[n:]
         h ^= h >> U(29)
-        n *= 2
     more = KMER - 32
-    return (h[:-more] * _C[8] + h[more:]) * _C[0]
+    return (h[:-more] * _C[8] + h[more:]) * _C[1]
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -132,41 +137,36 @@ def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 class _Bucket:
-    """The documents of a bucket in order, and their runs."""
+    """The documents of a bucket in order."""
 
-    def __init__(self, docs: pa.Table, keep: int):
+    def __init__(self, docs: pa.Table):
         order = pc.sort_indices(docs.select(["doc_id", "tie", "text"]), [(c, "ascending") for c in ("doc_id", "tie", "text")])
         self.table = docs.take(order)
-        self.text = text_column(self.table, "text")
-        self.b, self.offsets = raw(self.text)
+        self.b, self.offsets = raw(text_column(self.table, "text"))
         self.ids, self.ties = self.table.column("doc_id").to_numpy(), self.table.column("tie").to_numpy()
+
+    def runs(self, keep: int) -> tuple[np.ndarray, ...]:
+        """(core, high, low, hash) of each run: the core's start, its place in the first window and in the last."""
         got = list(runs(self.b, self.offsets)) if len(self.ids) else []
-        start, count, self.core, h = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, U if i == 3 else I64) for i in range(4))
-        self.hash = h & U(keep)
-        self.high = self.core - start  # the core's place in the first window; in the last it is low
-        self.low = self.high - count + 1
+        start, count, core, h = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, U if i == 3 else I64) for i in range(4))
+        return core, core - start, core - start - count + 1, h & U(keep)
 
-    def levels(self, told: pa.Table, upto: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """At each level the records (core, high, low), the hash they are dealt by, and for each the first one equal to it."""
+    def repeated(self, keep: int, told: pa.Table) -> tuple[np.ndarray, ...]:
+        """The runs whose cores other runs have, here or, as was told, elsewhere."""
+        found = self.runs(keep)
         known = [np.frombuffer(d, U) for d in _told(told, "core")]
-        value, n = np.unique(self.hash, return_counts=True)
-        some = _within(self.hash, np.sort(np.concatenate(known)) if known else value[:0]) | _within(self.hash, value[n > 1])
-        core, high, low, h = (x[some] for x in (self.core, self.high, self.low, self.hash))
-        data = memoryview(self.b)
-        for level in range(upto + 1):
-            seen: dict[bytes, int] = {}
-            spans = zip((core - high).tolist(), (core + WINDOW - low).tolist(), high.tolist(), strict=True)
-            same = np.array([seen.setdefault((bytes(data[s:e]), p), i) for i, (s, e, p) in enumerate(spans)], I64)
-            del seen
-            yield core, high, low, h, same
-            if level < upto:
-                split = [np.frombuffer(d, np.uint32) for d in _told(told, f"split{level}")]
-                first = np.flatnonzero(same == np.arange(len(same)))
-                pick = first[np.sort(np.concatenate(split))] if split else first[:0]
-                core, high, low, h = self.cut(core[pick], high[pick], low[pick], WIDTHS[level + 1])
-
-    def cut(self, core: np.ndarray, high: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-        """The records as those for each range of `width` places, and the hashes of the bytes that a range shares."""
+        value, n = np.unique(found[3], return_counts=True)
+        some = _within(found[3], value[n > 1])
+        if known:
+            some |= _within(found[3], np.sort(np.concatenate(known)))
+        return tuple(x[some] for x in found)
+
+    def cut(self, told: pa.Table, level: int) -> tuple[np.ndarray, ...]:
+        """The records that were to be split as those for each range of places, with hashes of what a range shares."""
+        width = WIDTHS[level]
+        got = [np.frombuffer(d, np.uint8) for d in _told(told, f"split{level - 1}")]
+        core = np.concatenate([g[: len(g) // 6 * 4].view(np.uint32) for g in got]).astype(I64)
+        high, low = (np.concatenate([g[len(g) // 6 * k : len(g) // 6 * (k + 1)] for g in got]).astype(I64) for k in (4, 5))
         n = high // width - low // width + 1
         at = np.repeat(low // width, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         core, high, low = np.repeat(core, n), np.minimum(np.repeat(high, n), at * width + width - 1), np.maximum(np.repeat(low, n), at * width)
@@ -175,12 +175,13 @@ class _Bucket:
             begin = core[s : s + (1 << 14)] - at[s : s + (1 << 14)] * width
             for k in range(WINDOW + 1 - width):
                 h[s : s + (1 << 14)] += _T[self.b[begin + k]] * weight[k]
-        return core, high, low, mix(h + at.astype(U) * _C[9])
+        order = np.lexsort((high, core))
+        return core[order], high[order], low[order], mix(h + at.astype(U) * _C[9])[order]
 
 
 def _cores(digits: int, keep: int):
     def find(key: tuple, docs: pa.Table) -> pa.Table:
-        h = np.unique(_Bucket(docs, keep).hash)
+        h = np.unique(_Bucket(docs).runs(keep)[3])
         to, data = _blobs(_digit(h, digits), h)
         return pa.table({"digit": pa.array(to, pa.int32()), "bucket": pa.array([key[0].as_py()] * len(to), pa.int32()), "data": pa.array(data, pa.binary())})
 
@@ -197,7 +198,7 @@ def _cores(digits: int, keep: int):
 def _msd(data: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray) -> np.ndarray:
     """For strings of `data`, of one length within a group, a number that those equal to each other have in common;
     -1 for one that is equal to no other of its group. Digits are eight bytes; single ones leave after each."""
-    every = np.ndarray((len(data) - 7,), ">u8", data, 0, (1,))  # the eight bytes from each position
+    every = _words(data)
     out = np.full(len(start), -1, I64)
     alive = np.argsort(group, kind="stable")
     now = group[alive]
@@ -233,31 +234,32 @@ def _later(group: np.ndarray, *order: np.ndarray) -> np.ndarray:
 
 def _send(level: int, digits: int, keep: int):
     def work(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
-        none = pa.table({"digit": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
-        if not len(docs) or level and not _told(told, f"split{level - 1}"):
-            return none
-        bucket = _Bucket(docs, keep)
-        core, high, low, h, same = list(bucket.levels(told, level))[-1]
-        first = np.flatnonzero(same == np.arange(len(same)))
-        core, high, low = core[first], high[first], low[first]
-        row = np.searchsorted(bucket.offsets, core, "right") - 1
-        digit = _digit(mix(h[first]), digits)
-        order = np.argsort(digit, kind="stable")
-        at = np.append(np.flatnonzero(np.append(True, digit[order][1:] != digit[order][:-1])), len(order)) if len(order) else np.zeros(1, int)
-        columns = [np.arange(len(first), dtype=np.uint32), bucket.ids[row], bucket.ties[row], high.astype(np.uint8), low.astype(np.uint8)]
-        begin, end, data = (core - high).tolist(), (core + WINDOW - low).tolist(), memoryview(bucket.b)
-        blobs = []
-        for s, e in zip(at[:-1], at[1:], strict=True):
-            part = order[s:e]
-            strings = [data[begin[i] : end[i]] for i in part.tolist()]
-            blobs.append(b"".join([np.uint32(len(part)).tobytes(), *(c[part].tobytes() for c in columns), *strings]))
-        return pa.table({"digit": pa.array(digit[order][at[:-1]], pa.int32()), "bucket": pa.array([key[0].as_py()] * len(blobs), pa.int32()), "data": pa.array(blobs, pa.binary())})
+        to, blobs = [], []
+        if len(docs) and (level == 0 or _told(told, f"split{level - 1}")):
+            bucket = _Bucket(docs)
+            core, high, low, h = bucket.cut(told, level) if level else bucket.repeated(keep, told)
+            begin, end, data = (core - high).tolist(), (core + WINDOW - low).tolist(), memoryview(bucket.b)
+            seen: dict[tuple, int] = {}
+            here = np.array([seen.setdefault((bytes(data[s:e]), p), i) for i, (s, e, p) in enumerate(zip(begin, end, high.tolist(), strict=True))], I64)
+            del seen
+            again = here != np.arange(len(here))
+            digit = np.where(again, digits + key[0].as_py(), _digit(mix(h), digits))  # what the bucket itself repeats: to itself
+            row = np.searchsorted(bucket.offsets, core, "right") - 1
+            columns = [core.astype(np.uint32), bucket.ids[row], bucket.ties[row], high.astype(np.uint8), low.astype(np.uint8)]
+            order = np.argsort(digit, kind="stable")
+            at = np.append(np.flatnonzero(np.append(True, digit[order][1:] != digit[order][:-1])), len(order)) if len(order) else np.zeros(1, int)
+            for s, e in zip(at[:-1], at[1:], strict=True):
+                part = order[s:e]
+                to.append(int(digit[part[0]]))
+                strings = [data[begin[i] : end[i]] for i in part.tolist()] if to[-1] < digits else []
+                blobs.append(b"".join([np.uint32(len(part)).tobytes(), *(c[part].tobytes() for c in columns), *strings]))
+        return pa.table({"digit": pa.array(to, pa.int32()), "bucket": pa.array([key[0].as_py()] * len(to), pa.int32()), "data": pa.array(blobs, pa.binary())})
 
     return work
 
 
 def _records(rows: pa.Table) -> tuple[np.ndarray, ...]:
-    """(bucket, number in the bucket, doc_id, tie, high, low, start of the string) of each record, and the strings."""
+    """(bucket, core, doc_id, tie, high, low) of each record, and the strings, one after another."""
     cols: list[list[np.ndarray]] = [[] for _ in range(5)]
     strings, n = [], []
     for x in (x for chunk in rows.column("data").chunks for x in chunk):
@@ -267,77 +269,71 @@ def _records(rows: pa.Table) -> tuple[np.ndarray, ...]:
         for c, t in zip(cols, (np.uint32, I64, np.int32, np.uint8, np.uint8), strict=True):
             c.append(np.frombuffer(data, t, k, at))
             at += k * np.dtype(t).itemsize
-        strings.append(np.frombuffer(data, np.uint8, offset=at))
+        strings.append(np.frombuffer(data, np.uint8, offset=at) if at < len(data) else np.zeros(0, np.uint8))
         n.append(k)
-    number, doc, tie, high, low = (np.concatenate(c) for c in cols)
-    high, low = high.astype(I64), low.astype(I64)
-    size = WINDOW + high - low
-    return np.repeat(rows.column("bucket").to_numpy(), n), number, doc, tie, high, low, np.cumsum(size) - size, np.concatenate([*strings, np.zeros(8, np.uint8)])
+    core, doc, tie, high, low = (np.concatenate(c) for c in cols)
+    return np.repeat(rows.column("bucket").to_numpy(), n), core, doc, tie, high.astype(I64), low.astype(I64), np.concatenate([*strings, np.zeros(8, np.uint8)])
 
 
-def _sort(level: int, hot: int):
+def _sort(level: int, digits: int, hot: int):
     width = WIDTHS[level]
 
     def work(key: tuple, rows: pa.Table) -> pa.Table:
-        bucket, number, doc, tie, high, low, start, data = _records(rows)
-        count = high - low + 1
-        mask = np.zeros(len(number), U)
-        place = low // width * width
-        shared = np.full(len(number), WINDOW + 1 - width)
-        group = _msd(data, start + high - place, shared, place)
+        bucket, core, doc, tie, high, low, data = _records(rows)
+        begin, count = core - high.astype(np.uint32), high - low + 1
+        whole = ~U(0) >> (U(64) - count.astype(U))
+        if key[0].as_py() >= digits:
+            return _answer(bucket, "mask", whole, begin)
+        mask, size, place = np.zeros(len(core), U), WINDOW - 1 + count, low // width * width
+        start = np.cumsum(size) - size
+        group = _msd(data, start + high - place, np.full(len(core), WINDOW + 1 - width), place)
         member = np.flatnonzero(group >= 0)
-        equal = np.full(len(number), -1, I64)
-        equal[member] = _msd(data, start[member], WINDOW - 1 + count[member], (group[member] * SPAN + high[member]) * SPAN + low[member])
-        again = _later(equal, doc, tie, number)
-        mask[again] = ~U(0) >> (U(64) - count[again].astype(U))
+        equal = np.full(len(core), -1, I64)
+        equal[member] = _msd(data, start[member], size[member], (group[member] * SPAN + high[member]) * SPAN + low[member])
+        again = _later(equal, doc, tie, core)
+        mask[again] = whole[again]
         one = np.flatnonzero((group >= 0) & ~again)  # of equal ones the first
         n = np.bincount(group[one], minlength=1)
         large = (n > hot) & (width > 1)
         split = one[large[group[one]]]
         left = one[(n > 1)[group[one]] & ~large[group[one]]]
         left = left[np.argsort(group[left], kind="stable")]
+        upto = np.cumsum(count[left])
         done = 0
         while done < len(left):  # some groups at a time, each whole
-            upto = int(np.searchsorted(np.cumsum(count[left[done:]]), 1 << 18)) + done
-            upto = int(np.searchsorted(group[left], group[left[min(upto, len(left) - 1)]], "right"))
-            some = left[done:upto]
+            stop = min(int(np.searchsorted(upto, (upto[done - 1] if done else 0) + (1 << 18))), len(left) - 1)
+            stop = int(np.searchsorted(group[left], group[left[stop]], "right"))
+            some = left[done:stop]
             of = np.repeat(some, count[some])
             i = np.arange(len(of)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
             same = _msd(data, start[of] + i, np.full(len(of), WINDOW), group[of])
-            late = _later(same, doc[of], tie[of], number[of])
+            late = _later(same, doc[of], tie[of], core[of])
             np.bitwise_or.at(mask, of[late], U(1) << i[late].astype(U))
-            done = upto
+            done = stop
         some = np.flatnonzero(mask)
-        return pa.concat_tables([_answer(bucket[some], f"mask{level}", mask[some], number[some]), _answer(bucket[split], f"split{level}", number[split])])
+        told = _answer(bucket[some], "mask", mask[some], begin[some])
+        return pa.concat_tables([told, _answer(bucket[split], f"split{level}", core[split], high[split].astype(np.uint8), low[split].astype(np.uint8))])
 
     return work
 
 
-def _covered(bucket: _Bucket, told: pa.Table) -> np.ndarray:
-    """Which bytes of the bucket lie in a window that starts earlier somewhere."""
-    begins = np.zeros(len(bucket.b) + 1, bool)
-    for level, (core, high, low, _, same) in enumerate(bucket.levels(told, len(WIDTHS) - 1)):
-        if not len(core):
-            continue
-        mask = np.zeros(len(core), U)
-        first = same == np.arange(len(core))
-        mask[~first] = ~U(0) >> (U(63) - (high - low)[~first].astype(U))
-        place = np.flatnonzero(first)
-        for d in _told(told, f"mask{level}"):
-            n = len(d) // 12
-            mask[place[np.frombuffer(d, np.uint32, n, 8 * n)]] = np.frombuffer(d, U, n)
-        r, i = np.nonzero(np.unpackbits(mask.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-        begins[(core - high)[r] + i] = True
+def _covered(n: int, told: pa.Table) -> np.ndarray:
+    """Which of a bucket's n bytes lie in a window that starts earlier somewhere."""
+    begins = np.zeros(n + 1, bool)
+    for d in _told(told, "mask"):
+        k = len(d) // 12
+        r, i = np.nonzero(np.unpackbits(np.frombuffer(d, np.uint8, 8 * k).reshape(-1, 8), axis=1, bitorder="little"))
+        begins[np.frombuffer(d, np.uint32, k, 8 * k)[r] + i] = True
     total = np.cumsum(begins, dtype=np.int32)
     out = total[:-1] > 0
     out[WINDOW:] = total[WINDOW:-1] > total[: -1 - WINDOW]
     return out
 
 
-def _remove(keep: int, more: bool):
+def _remove(more: bool):
     def work(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
-        bucket = _Bucket(docs, keep)
-        gone = _covered(bucket, told)
+        bucket = _Bucket(docs)
+        gone = _covered(len(bucket.b), told)
         kept, spans, b = [], [], bucket.b
         for lo, hi in zip(bucket.offsets[:-1].tolist(), bucket.offsets[1:].tolist(), strict=True):
             c = gone[lo:hi]
@@ -383,9 +379,11 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, hot: int = H
     hold = lambda x: x.repartition(buckets, "bucket")  # noqa: E731  (answers are made once, and read by several passes)
     find, repeated = _cores(digits, keep)
     told = hold(by(d).applyInArrow(find, ROWS).groupBy(DIGIT).applyInArrow(repeated, TOLD))
+    masks = None
     for level in range(len(WIDTHS)):
         sent = by(d).cogroup(by(told)).applyInArrow(_send(level, digits, keep), ROWS)
-        told = told.unionByName(hold(sent.groupBy(DIGIT).applyInArrow(_sort(level, hot), TOLD)))
+        told = hold(sent.groupBy(DIGIT).applyInArrow(_sort(level, digits, hot), TOLD))
+        masks = told if masks is None else masks.unionByName(told)
     out = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
     out += f", more {d.schema['more'].dataType.simpleString()}" if carry else ""
-    return by(d).cogroup(by(told)).applyInArrow(_remove(keep, bool(carry)), out).withColumn("doc_id", F.nullif("doc_id", F.lit(_LEAST)))
+    return by(d).cogroup(by(masks)).applyInArrow(_remove(bool(carry)), out).withColumn("doc_id", F.nullif("doc_id", F.lit(_LEAST)))
