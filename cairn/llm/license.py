@@ -2,8 +2,10 @@
 
 At most k = DIFFER * t of a template's t words may be missing, so of any k + 1 different words of it a notice has one:
 these are its signs. Around each sign word of a document lies a block, of the template's length and k words more to
-either side, over line ends; if it has enough of the template's words, it is compared with the template word by word. A
-notice with differences must also save SAVES of its own size when compressed with the template as a raw dictionary.
+either side, over line ends. Blocks that have enough of a template's words are compressed with each such template as a
+raw dictionary, and ranked by what that saves; in this order the exact differences in wording confirm them. A version or
+a word that tells licenses apart ("lesser", "by-nc") must be the same. A notice with differences must also save SAVES of
+its own size.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ from array import array
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 import zstandard
@@ -40,11 +41,48 @@ TEMPLATES = {
 DIFFER, SAVES = 0.2, 0.2
 COMMON = frozenset("a all and any are as at be by for from has have in is it its may not of on or that the their these this to under use was which will with without work".split())
 
+# Words that tell one license from its relatives, beside all words with a digit.
+VARIANTS = frozenset("lesser library affero free documentation mozilla apache mit bsd isc eclipse boost by nc sa nd by-nc by-sa by-nd by-nc-sa by-nc-nd not no".split())
+
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
+_VERSION = re.compile(r"v?(\d+(?:\.\d+)*?)(?:\.0)*")
+
+
+def plain(word: str) -> str:
+    """Lower-cased; of a version number without what says nothing: v2.0 and 2 are the same."""
+    w = word.lower()
+    m = _VERSION.fullmatch(w)
+    return m[1] if m else w
 
 
 def words(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text)]
+    return [plain(w) for w in _WORD.findall(text)]
+
+
+def variants(some: list[str]) -> list[str]:
+    return [w for w in some if w in VARIANTS or any(c.isdigit() for c in w)]
+
+
+def align(block: list[str], template: list[str]) -> tuple[int, int, int, int]:
+    """(words of the template missing, words that it has not, first, end) of the stretch of the block that becomes the
+    template by the fewest insertions and deletions; of such stretches that with most of the template's words, then the first."""
+    n = len(block)
+    cost, start = [0] * (n + 1), list(range(n + 1))
+    for i, word in enumerate(template, 1):
+        c, s = [i], [0]
+        for j in range(1, n + 1):
+            if block[j - 1] == word:
+                c.append(cost[j - 1])
+                s.append(start[j - 1])
+            else:
+                least, begin = min((cost[j], start[j]), (c[j - 1], s[j - 1]))
+                c.append(least + 1)
+                s.append(begin)
+        cost, start = c, s
+    end = min(range(n + 1), key=lambda j: (cost[j], start[j] - j, j))
+    length = end - start[end]
+    same = (len(template) + length - cost[end]) // 2
+    return len(template) - same, length - same, start[end], end
 
 
 def signs(template: list[str]) -> list[str]:
@@ -54,73 +92,81 @@ def signs(template: list[str]) -> list[str]:
 
 class Scanner:
     def __init__(self, templates: dict[str, str]):
-        plain = dict(level=19, write_content_size=False)
-        self.alone = zstandard.ZstdCompressor(**plain)
+        plain_zstd = dict(level=19, write_content_size=False)
+        self.alone = zstandard.ZstdCompressor(**plain_zstd)
         self.each = []
         self.places = defaultdict(list)  # sign word: (template, place in it)
         for name, text in templates.items():
-            known = zstandard.ZstdCompressionDict(text.lower().encode() * 2, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             template = words(text)
+            known = zstandard.ZstdCompressionDict(" ".join(template).encode() * 2, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             for w in signs(template):
                 self.places[w] += [(len(self.each), i) for i, x in enumerate(template) if x == w]
-            self.each.append((name, template, Counter(template), zstandard.ZstdCompressor(dict_data=known, **plain)))
-
-    def _compare(self, mine: list[str], template: list[str]) -> tuple[int, int, int, int] | None:
-        """(missing, extra, first, end) of the matching stretch with the fewest differences."""
-        match = [m for m in SequenceMatcher(None, mine, template, False).get_matching_blocks() if m.size]
-        found = []
-        for i in range(len(match)):
-            same = 0
-            for m in match[i:]:
-                same += m.size
-                first, end = match[i].a, m.a + m.size
-                found.append((len(template) - same, end - first - same, first, end))
-        return min(found, key=lambda x: (x[0] + x[1], x), default=None)
+            self.each.append((name, template, Counter(template), variants(template), zstandard.ZstdCompressor(dict_data=known, **plain_zstd)))
 
-    def notices(self, text: str) -> list[tuple[int, str, float, int, int, int]]:
-        """(line, license, share saved, words of the template missing from the notice, words of the notice that it has
-        not, place of the notice's first word in its line) of all notices, which do not overlap."""
-        seen, mine, at, end = {}, [], array("q"), array("q")
-        for m in _WORD.finditer(text):
-            w = m.group().lower()
-            mine.append(seen.setdefault(w, w))
-            at.append(m.start())
-            end.append(m.end())
-        if self.places.keys().isdisjoint(seen):
-            return []
-        windows = {(k, q - p) for q, w in enumerate(mine) if w in self.places for k, p in self.places[w]}
+    def saved(self, k: int, some: list[str]) -> float:
+        """Share of the compressed size of these words that template k saves as a dictionary."""
+        data = " ".join(some).encode()
+        return 1 - len(self.each[k][4].compress(data)) / len(self.alone.compress(data))
+
+    def rank(self, mine: list[str], windows: set[tuple[int, int]]) -> list[tuple[float, int, int, int]]:
+        """(-saved, template, first, end) of the blocks for these (template, start) that have enough of its words."""
         found = set()
         for k, start in windows:
-            name, template, bag, known = self.each[k]
+            _, template, bag, _, _ = self.each[k]
             slack = int(DIFFER * len(template))
-            lo = max(0, start - slack)
-            block = mine[lo : start + len(template) + slack]
-            if (bag & Counter(block)).total() < len(template) - slack:
+            lo, hi = max(0, start - slack), start + len(template) + slack
+            if (bag & Counter(mine[lo:hi])).total() >= len(template) - slack:
+                found.add((k, lo, hi))
+        return sorted((-self.saved(k, mine[lo:hi]), k, lo, hi) for k, lo, hi in found)
+
+    def confirm(self, mine: list[str], ranked: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int, float, int, int]]:
+        """(first, end, template, saved, missing, extra) of notices, none of which overlap."""
+        out, taken = [], set()
+        for _, k, lo, hi in ranked:
+            _, template, _, told_apart, _ = self.each[k]
+            slack, before = int(DIFFER * len(template)), None
+            while True:  # around what was found, until no more of the notice lies outside
+                missing, extra, first, stop = align(mine[lo:hi], template)
+                first, stop = lo + first, lo + stop
+                if (first, stop) == before or missing + extra > slack:
+                    break
+                before, lo, hi = (first, stop), max(0, first - 2 * slack), stop + 2 * slack
+            if missing + extra > slack or variants(mine[first:stop]) != told_apart:
                 continue
-            missing, extra, first, stop = self._compare(block, template) or (len(template), 0, 0, 0)
-            if missing + extra > DIFFER * len(template):
+            if not taken.isdisjoint(range(first, stop)):
                 continue
-            first, stop = lo + first, lo + stop
-            raw = " ".join(text[at[first] : end[stop - 1]].lower().split()).encode()
-            saved = 1 - len(known.compress(raw)) / len(self.alone.compress(raw))
+            saved = self.saved(k, mine[first:stop])
             if missing + extra == 0 or saved >= SAVES:
-                found.add((missing + extra, -saved, name, missing, extra, first, stop))
-        out, taken = [], set()
-        for _, saved, name, missing, extra, first, stop in sorted(found):
-            if taken.isdisjoint(range(first, stop)):
                 taken.update(range(first, stop))
-                begin = text.rfind("\n", 0, at[first]) + 1
-                out.append((text.count("\n", 0, begin), name, -saved, missing, extra, first - bisect_left(at, begin)))
+                out.append((first, stop, k, saved, missing, extra))
         return sorted(out)
 
+    def notices(self, text: str) -> list[tuple[int, str, float, int, int, int]]:
+        """(line, license, share saved, words of the template missing from the notice, words of the notice that it has
+        not, place of the notice's first word in its line) of all notices."""
+        seen, mine, at = {}, [], array("q")
+        for m in _WORD.finditer(text):
+            w = m.group()
+            mine.append(seen.get(w) or seen.setdefault(w, plain(w)))
+            at.append(m.start())
+        if self.places.keys().isdisjoint(seen.values()):
+            return []
+        windows = {(k, q - p) for q, w in enumerate(mine) if w in self.places for k, p in self.places[w]}
+        out = []
+        for first, _, k, saved, missing, extra in self.confirm(mine, self.rank(mine, windows)):
+            begin = text.rfind("\n", 0, at[first]) + 1
+            out.append((text.count("\n", 0, begin), self.each[k][0], saved, missing, extra, first - bisect_left(at, begin)))
+        return out
+
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, block (number of the line where it begins), license, saved, missing, extra, first_word: a row per notice.
 
     Documents without notices, with null or empty text give no rows; rows that repeat a doc_id give theirs each. Of
-    notices that overlap the one with the fewest differences counts. Documents without a sign word are skipped.
+    notices that overlap the one whose block saves most counts. Documents without a sign word are skipped.
     """
     chosen = templates or TEMPLATES
+    # a version's sign may stand in the text in a longer form, which its digits begin
     any_sign = "|".join(re.escape(w) for w in sorted({w for t in chosen.values() for w in signs(words(t))}))
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     d = d.filter(F.col("text").rlike("(?iu)" + any_sign) if any_sign else F.lit(False))

@@ -21,7 +21,6 @@ LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
 def ids_of(texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids + [0] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -234,11 +233,12 @@ def test_quality_words(spark):
 
 
 def test_licenses(spark, odd, none):
-    near = "This work is licensed under the GNU General Public License, version 2."
-    rows = [(1, "abc\nReleased under the MIT License.\nx"), (2, near), (3, "no licence talk here at all, only words"), (4, "text before. Licensed under CC BY-NC 4.0. and after"), (5, None), (6, "ALL RIGHTS RESERVED"), (6, "ALL RIGHTS RESERVED")]
+    near = "This work is licensed under the GNU General Public License, version"
+    rows = [(1, "abc\nReleased under the MIT License.\nx"), (2, near + " 2."), (3, "no licence talk here at all, only words"), (4, "text before. Licensed under CC BY-NC 4.0. and after"), (5, None), (6, "ALL RIGHTS RESERVED"), (6, "ALL RIGHTS RESERVED")]
+    rows += [(7, near + " 3.0"), (8, near + " 31"), (9, near.replace("GNU", "GNU Affero") + " 3"), (10, near.replace("work", "library").replace("GNU", "GNU Lesser") + " 3"), (11, "This is licensed under the GNU General Public License, v3."), (12, near.replace("GNU", "GNU Lesser") + " 3"), (13, "Licensed under CC 4.0."), (14, "Licensed under CC BY-SA 4.0.")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = sorted((r.doc_id, r.block, r.license, r.missing) for r in license.scan(df).collect())
-    assert got == [(1, 1, "MIT", 0), (2, 0, "GPL-3.0", 1), (4, 0, "CC-BY-NC-4.0", 0), (6, 0, "proprietary", 0), (6, 0, "proprietary", 0)]
+    got = sorted((r.doc_id, r.block, r.license, r.missing, r.extra) for r in license.scan(df).collect())
+    assert got == [(1, 1, "MIT", 0, 0), (4, 0, "CC-BY-NC-4.0", 0, 0), (6, 0, "proprietary", 0, 0), (6, 0, "proprietary", 0, 0), (7, 0, "GPL-3.0", 0, 0), (10, 0, "LGPL-3.0", 0, 0), (11, 0, "GPL-3.0", 2, 0)]
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     notices = {license.TEMPLATES[k]: k for k in ("MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0", "proprietary")}
     want = sorted((r.doc_id, i, k) for r in docs.collect() for i, line in enumerate(r.text.split("\n")) for n, k in notices.items() if line.endswith(n))
@@ -259,7 +259,7 @@ def test_licenses_wrapped(spark):
 
 def test_licenses_long_line(spark):
     """A near notice counts at the end of a long line as it does alone; a line has all its notices."""
-    near = "Licensed under the Apache License, version 2."
+    near = "Licensed under Apache License, version 2."
     prose = " ".join(f"{w}{i * i}" for i in range(20) for w in ("ordinary", "prose", "before"))[:884]
     rows = [(1, near), (2, prose + " " + near), (3, "Released under the MIT License. " + prose + " All rights reserved. Licensed under CC BY 4.0.")]
     got = license.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
@@ -267,6 +267,46 @@ def test_licenses_long_line(spark):
     assert len({round(r.saved, 9) for r in got if r.doc_id < 3}) == 1
 
 
+def test_licenses_by_all_windows():
+    """The same notices as from every window of every template, without sign words."""
+    rng = np.random.default_rng(4)
+    scanner, found = license.Scanner(license.TEMPLATES), 0
+    some = [license.words(t) for t in license.TEMPLATES.values()]
+    for _ in range(150):
+        mine = []
+        for k in rng.integers(0, len(some), 4):
+            t = [w for w in some[k] if rng.random() > 0.07]
+            for _ in range(int(rng.integers(0, 3))):
+                t.insert(int(rng.integers(0, len(t) + 1)), str(rng.choice(["the", "extra", "license", "under", "all"])))
+            mine += [*t, *map(str, rng.choice(["prose", "of", "every", "day", "rights", "work"], int(rng.integers(0, 5))))]
+        every = {(k, s) for k, t in enumerate(some) for s in range(-len(t), len(mine))}
+        want = [(first, scanner.each[k][0], missing, extra) for first, _, k, _, missing, extra in scanner.confirm(mine, scanner.rank(mine, every))]
+        got = scanner.notices(" ".join(mine))
+        assert [(n[5], n[1], n[3], n[4]) for n in got] == want
+        found += len(got)
+    assert found > 200
+
+
+def test_alignment():
+    """Against all stretches, by the length of their longest common subsequence with the template."""
+    rng = np.random.default_rng(6)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    for _ in range(200):
+        block, template = (rng.integers(0, 4, n).tolist() for n in (int(rng.integers(1, 9)), 5))
+        missing, extra, first, stop = license.align(block, template)
+        cost = {(s, e): 5 + e - s - 2 * common(block[s:e], template) for s in range(len(block)) for e in range(s, len(block) + 1)}
+        assert missing + extra == min(cost.values()) == cost[first, stop] if stop > first else missing == 5
+
+
 def test_sharding(spark, odd, none):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
