@@ -10,6 +10,7 @@ are laid out again end to end, and the last, unfilled sequence is split into pow
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterator
 from zlib import crc32
@@ -25,15 +26,17 @@ CAPACITY, LAST = 1024, 16
 SIZES = [0, *(CAPACITY // j for j in range(1, LAST + 1))]
 END = 0
 #: Characters whose class the two engines' Unicode tables could see differently; such texts take the slower one.
-UNUSUAL = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0ɐ-\U0010ffff]|<\\|")
+UNUSUAL = "[\x00-\x08\x0b-\x1f\x7f-\xa0ɐ-\U0010ffff]"
 
 
 class Ids:
-    """Token ids of texts: those of a tokenizers file. With the same vocabulary as ranks beside it, common texts take
-    the faster engine, whose ids are the same. Special tokens' strings in a text are ordinary text."""
+    """Token ids of texts: those of a tokenizers file, also for the strings of its special tokens in a text. With the
+    same vocabulary as ranks beside it, texts of common characters without such strings take the faster engine, whose
+    ids are the same."""
 
-    def __init__(self, path: str, ranks: str | None, pattern: str | None):
+    def __init__(self, path: str, ranks: str | None, pattern: str | None, special: tuple[str, ...] = ()):
         self.path, self.slow, self.fast = path, None, None
+        self.unusual = re.compile("|".join([UNUSUAL, *map(re.escape, special)]))
         if ranks:
             import tiktoken
 
@@ -41,18 +44,23 @@ class Ids:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is not None and not UNUSUAL.search(text):
+        if self.fast is not None and not self.unusual.search(text):
             ids = self.fast.encode_ordinary(text)
         else:
             if self.slow is None:  # takes room, and few texts need it
                 from tokenizers import Tokenizer
 
                 self.slow = Tokenizer.from_file(self.path)
-                self.slow.encode_special_tokens = True
             ids = self.slow.encode(text, add_special_tokens=False).ids
         return np.array([*ids, END], "<u4")
 
 
+def special_tokens(path: str) -> tuple[str, ...]:
+    """Strings of the tokens that a tokenizers file adds to its vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f)["added_tokens"])
+
+
 _LOADED: dict[tuple, Ids] = {}
 
 
@@ -128,9 +136,10 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, pattern: str | No
     Null text is empty and gives the end token alone. Rows that repeat a doc_id (or have none) are packed each for
     itself. Sequence ids are unique but not consecutive: the worker's number is in the upper bits.
     """
+    key = path, ranks, pattern, special_tokens(path)
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = load(path, ranks, pattern), Packer(TaskContext.get().partitionId())
+        encode, packer = load(*key), Packer(TaskContext.get().partitionId())
 
         def rows() -> pa.RecordBatch:
             cols = list(zip(*packer.rows, strict=True)) or [[]] * 7
