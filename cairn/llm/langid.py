@@ -7,12 +7,12 @@ false positives would give is taken off, and the largest count decides.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +22,7 @@ from cairn.llm.common import U, batches, constants, mix, raw
 #: its rate in the language where it is most frequent that an n-gram needs to count as contained, and its least count.
 BITS, HASHES, SAMPLE, SHARE, LEAST = 20, 3, 2_000, 0.3, 2
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _C = constants(31, HASHES)
 _KEEP = np.full(256, 0x20, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
