@@ -158,6 +158,15 @@ def doc_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def carrying(docs: DataFrame, carry: list[str] | None) -> tuple[DataFrame, str]:
+    """doc_texts() with the columns named in `carry` in a struct `more`; the end of a schema that has it."""
+    if not carry:
+        return doc_texts(docs), ""
+    d = docs.select(F.struct(*[F.col(c) for c in carry]).alias("more"), "doc_id", "text")
+    d = d.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "more")
+    return d, f", more {d.schema['more'].dataType.simpleString()}"
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Size of a DataFrame with a text column, for choosing how many parts to deal it into: Catalyst's estimate from
     the files, or where it has none the bytes of the texts."""

@@ -1,9 +1,12 @@
 """Benchmark decontamination with an FM-index per training shard.
 
 Words of documents and benchmark become symbols (words that the benchmark lacks can't be in an occurrence and separate).
-Each shard of documents gets its own index: suffix order, the symbols before the suffixes in a wavelet matrix for rank
-queries, and sampled suffix positions. All test phrases go through backward search at once; what they match is located
-by walking to the next sampled position, and the words covered are merged into removal spans.
+Each shard of documents gets its own index, once: suffix order, the symbols before the suffixes in a wavelet matrix for
+rank queries, and sampled suffix positions. All test phrases go through its backward search, block by block; what they
+match is located by walking to the next sampled position, and the words covered are merged into removal spans.
+
+A block is a bounded number of benchmark words, sent out by broadcast; a benchmark of any size is a list of blocks, and a
+task holds one at a time. The driver holds one at a time too, as rows of words come to it that tasks have made.
 """
 
 from __future__ import annotations
@@ -12,14 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import batches, doc_texts, raw, starts_of, word_hashes
+from cairn.llm.common import U, batches, carrying, raw, starts_of, word_hashes
 
 WINDOW = 10
-#: Bytes of text to a shard, every how many positions are sampled, and bytes of benchmark text sent out at once.
-SHARD_BYTES, SAMPLED, BLOCK_BYTES = 4 << 20, 8, 8 << 20
+#: Bytes of text to a shard, every how many positions are sampled, words of a block of the benchmark, and of the pieces
+#: in which long items come.
+SHARD_BYTES, SAMPLED, BLOCK_WORDS, PIECE_WORDS = 4 << 20, 8, 1 << 20, 1 << 16
 
 _WORD = np.zeros(256, bool)
 for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -79,13 +84,16 @@ class FMIndex:
         self.sampled, self.place = sampled[order], order
         self.n = n
 
-    def count(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix ranges [lo, hi) of phrases, one a row, padded in front with -1."""
-        lo, hi = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
-        for j in range(phrases.shape[1] - 1, -1, -1):
-            go = np.flatnonzero((phrases[:, j] >= 0) & (lo < hi))
-            c = phrases[go, j]
-            lo[go], hi[go] = self.least[c] + self.wavelet.rank(c, lo[go]), self.least[c] + self.wavelet.rank(c, hi[go])
+    def count(self, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix ranges [lo, hi) of the phrases flat[start : start + length], from their last symbols on."""
+        lo, hi = np.zeros(len(start), np.int64), np.full(len(start), self.n, np.int64)
+        for j in range(int(length.max(initial=0))):
+            go = np.flatnonzero((length > j) & (lo < hi))
+            c = flat[start[go] + length[go] - 1 - j]
+            if j == 0:
+                lo[go], hi[go] = self.least[c], self.least[c + 1]
+            else:
+                lo[go], hi[go] = self.least[c] + self.wavelet.rank(c, lo[go]), self.least[c] + self.wavelet.rank(c, hi[go])
         return lo, hi
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
@@ -102,88 +110,148 @@ class FMIndex:
         return at
 
 
+def _place(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """1 + the place of each hash among the sorted words, 0 where it is none of them."""
+    if not len(words):
+        return np.zeros(len(h), np.int64)
+    i = np.searchsorted(words, h)
+    i[i == len(words)] = 0
+    return np.where(words[i] == h, i + 1, 0)
+
+
 class Phrases:
-    """The distinct windows of a block of items: ten words in a row, or all of a shorter item that has any."""
+    """A block: the words of items, or of pieces of items, and the windows among them: ten words in a row, or all of an
+    item of fewer."""
+
+    def __init__(self, items: list[int | None], hashes: list[np.ndarray]):
+        flat = np.concatenate([*hashes, np.zeros(0, U)])
+        self.words = np.unique(flat)
+        self.flat = _place(flat, self.words).astype(np.int32)
+        size = np.array([len(h) for h in hashes], np.int64)
+        n = np.maximum(1, size - WINDOW + 1)
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        self.start = (np.repeat(np.cumsum(size) - size, n) + within).astype(np.int32)
+        self.length = np.repeat(np.minimum(size, WINDOW), n).astype(np.int8)
+        self.item, self.items = np.repeat(np.arange(len(items), dtype=np.int32), n), items
+
+    def search(self, index: FMIndex, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the indexed symbols, words, number of the item) of every occurrence."""
+        flat = np.append(0, _place(self.words, alphabet))[self.flat]
+        absent = np.append(0, np.cumsum(flat == 0))
+        start, length = self.start.astype(np.int64), self.length.astype(np.int64)
+        some = np.flatnonzero(absent[start + length] == absent[start])
+        start, length, item = start[some], length[some], self.item[some]
+        lo, hi = index.count(flat, start, length)
+        n = hi - lo
+        rows = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+        return index.locate(rows), np.repeat(length, n), np.repeat(item, n)
 
-    def __init__(self, items: list[tuple[int, str]]):
-        row, _, _, h = word_hashes(*raw(pa.array([t for _, t in items], pa.large_string())), _WORD)
-        self.words = np.unique(h)
-        ids = np.searchsorted(self.words, h) + 1
+
+def _item_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """item_id and word hashes (as bytes) of items that have words; pieces of a long item overlap by a window less one."""
+    for batch, col in batches(it, "text"):
+        row, _, _, h = word_hashes(*raw(col), _WORD)
         at = np.append(starts_of(row), len(row))
-        found: dict[tuple, set] = {}
+        ids, found = batch.column("item_id").to_pylist(), []
         for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            item = items[int(row[s])][0]
-            for i in range(s, max(s, e - WINDOW) + 1):
-                found.setdefault(tuple(ids[i : min(i + WINDOW, e)].tolist()), set()).add(item)
-        self.length = np.array([len(p) for p in found], np.int64)
-        self.table = np.array([[-1] * (WINDOW - len(p)) + list(p) for p in found], np.int64).reshape(-1, WINDOW)
-        self.items = [sorted(v, key=lambda x: (x is None, x)) for v in found.values()]
-
-    def symbols(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(h), np.int64)
-        i = np.searchsorted(self.words, h)
-        i[i == len(self.words)] = 0
-        return np.where(self.words[i] == h, i + 1, 0)
-
-    def hits(self, row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, phrase) of every occurrence in the words h of the texts row."""
-        none = np.zeros(0, np.int64)
-        if not len(self.table) or not len(h):
-            return none, none
-        s = self.symbols(h)
-        # runs of known words of one text; those shorter than any phrase can't hold one
-        known = np.flatnonzero(s)
-        if not len(known):
-            return none, none
-        new = np.append(True, (known[1:] != known[:-1] + 1) | (row[known[1:]] != row[known[:-1]]))
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(known)))
-        keep = size >= self.length.min()
-        if not keep.any():
-            return none, none
-        at = known[np.repeat(keep, size)]
-        size = size[keep]
-        total = np.cumsum(size + 1)
-        symbols, source = np.zeros(total[-1], np.int64), np.zeros(total[-1], np.int64)
-        put = np.arange(len(at)) + np.repeat(np.arange(len(size)), size)
-        symbols[put], source[put] = s[at], at
-        index = FMIndex(symbols, len(self.words))
-        lo, hi = index.count(self.table)
-        n = hi - lo
-        phrase = np.repeat(np.arange(len(n)), n)
-        rows = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
-        return source[index.locate(rows)], phrase
+            last = max(s + 1, e - WINDOW + 1)
+            found += [(ids[int(row[s])], h[k : min(e, k + PIECE_WORDS + WINDOW - 1)].tobytes()) for k in range(s, last, PIECE_WORDS)]
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["item_id", "words"])
+
+
+def _blocks(benchmark: DataFrame, block_words: int) -> tuple[list[Broadcast], int]:
+    """The blocks, and the words of the shortest window."""
+    b = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sc = benchmark.sparkSession.sparkContext
+    blocks, items, hashes, held, least = [], [], [], 0, WINDOW
+    for r in b.mapInArrow(_item_words, "item_id bigint, words binary").toLocalIterator(prefetchPartitions=True):
+        items.append(r.item_id)
+        hashes.append(np.frombuffer(r.words, U))
+        held += len(hashes[-1])
+        least = min(least, len(hashes[-1]))
+        if held >= block_words:
+            blocks.append(sc.broadcast(Phrases(items, hashes)))
+            items, hashes, held = [], [], 0
+    if items:
+        blocks.append(sc.broadcast(Phrases(items, hashes)))
+    return blocks, least
+
+
+def _each(blocks: list[Broadcast]) -> Iterator[tuple[int, Phrases]]:
+    """A worker reads a block from its executor's copy; of several it keeps none in memory."""
+    for k, b in enumerate(blocks):
+        yield k, b.value
+        if len(blocks) > 1 and hasattr(b, "_value"):
+            del b._value
+
+
+def _shard_hits(row: np.ndarray, h: np.ndarray, blocks: list[Broadcast], least: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """(first word, words of every occurrence; of each block its number, first words and items of its occurrences)."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    known = np.zeros(len(h), bool)
+    for _, p in _each(blocks):
+        known |= _place(h, p.words) > 0
+    known = np.flatnonzero(known)
+    if not len(known):
+        return none
+    # runs of known words of one text; those shorter than any phrase can't hold one
+    new = np.append(True, (known[1:] != known[:-1] + 1) | (row[known[1:]] != row[known[:-1]]))
+    size = np.diff(np.append(np.flatnonzero(new), len(known)))
+    keep = size >= least
+    if not keep.any():
+        return none
+    at, size = known[np.repeat(keep, size)], size[keep]
+    alphabet = np.unique(h[at])
+    symbols, source = np.zeros((size + 1).sum(), np.int64), np.zeros((size + 1).sum(), np.int64)
+    put = np.arange(len(at)) + np.repeat(np.arange(len(size)), size)
+    symbols[put], source[put] = _place(h[at], alphabet), at
+    index = FMIndex(symbols, len(alphabet))
+    first, words, items = [], [], []
+    for k, p in _each(blocks):
+        place, length, item = p.search(index, alphabet)
+        first.append(source[place])
+        words.append(length)
+        items.append((k, first[-1], item))
+    return np.concatenate(first), np.concatenate(words), items
 
 
 OUT = "doc_id bigint, n_words bigint, n_hit bigint, items array<bigint>, spans array<struct<start:bigint,end:bigint,first:bigint,last:bigint>>"
 
 
-def _search(docs: DataFrame, items: list[tuple[int, str]], carry: bool) -> DataFrame:
-    phrases = docs.sparkSession.sparkContext.broadcast(Phrases(items))  # of BLOCK_BYTES of text at most
+def find(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, items, spans (bytes start to end, words first to last, merged): one row per input row, and
+    with `carry` its columns of these names in the struct `more`.
+
+    Null or empty text has no words. Items with null or wordless text have no window; items that repeat count once by
+    item_id. Rows that repeat a doc_id, or have none, are searched each. Other columns take no part.
+    """
+    blocks, least = _blocks(benchmark, block_words)
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = phrases.value
         for batch, col in batches(it, "text", SHARD_BYTES):
             b, offsets = raw(col)
             row, start, end, h = word_hashes(b, offsets, _WORD)
-            first, phrase = p.hits(row, h)
+            first, length, items = _shard_hits(row, h, blocks, least)
             change = np.zeros(len(row) + 1, np.int64)
             np.add.at(change, first, 1)
-            np.add.at(change, first + p.length[phrase], -1)
+            np.add.at(change, first + length, -1)
             hit = np.cumsum(change[:-1]) > 0
             n_words, n_hit = np.bincount(row, minlength=len(col)), np.bincount(row[hit], minlength=len(col))
             items_of: dict[int, set] = {}
-            if len(first):
-                for r, k in np.unique(np.stack([row[first], phrase]), axis=1).T.tolist():
-                    items_of.setdefault(r, set()).update(p.items[k])
+            for k, where, item in items:
+                if len(where):
+                    ids = blocks[k].value.items
+                    for r, i in np.unique(np.stack([row[where], item]), axis=1).T.tolist():
+                        items_of.setdefault(r, set()).add(ids[i])
+                    if len(blocks) > 1 and hasattr(blocks[k], "_value"):
+                        del blocks[k]._value
             spans: dict[int, list] = {}
             at = np.flatnonzero(hit)
             if len(at):
                 new = np.append(True, (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]]))
                 s, e = at[new], at[np.append(new[1:], True)]
-                base = np.searchsorted(np.flatnonzero(np.append(True, row[1:] != row[:-1])), s, "right") - 1
-                begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))[base]
+                begins = starts_of(row)
+                begin = begins[np.searchsorted(begins, s, "right") - 1]
                 for r, x, y, f, g in zip(row[s].tolist(), (start[s] - offsets[row[s]]).tolist(), (end[e] - offsets[row[e]]).tolist(), (s - begin).tolist(), (e - begin).tolist(), strict=True):
                     spans.setdefault(r, []).append({"start": x, "end": y, "first": f, "last": g})
             cols = [
@@ -191,45 +259,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], carry: bool) -> DataF
                 pa.array([sorted(items_of.get(i, ()), key=lambda x: (x is None, x)) for i in range(len(col))], pa.list_(pa.int64())),
                 pa.array([spans.get(i, []) for i in range(len(col))], pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "end", "first", "last")]))),
             ]
-            names = ["doc_id", "n_words", "n_hit", "items", "spans"]
-            yield pa.RecordBatch.from_arrays([*cols, *([batch.column("rid")] if carry else [])], names=[*names, *(["rid"] if carry else [])])
-
-    return docs.mapInArrow(work, OUT + (", rid bigint" if carry else ""))
+            yield pa.RecordBatch.from_arrays([*cols, *([batch.column("more")] if carry else [])], names=["doc_id", "n_words", "n_hit", "items", "spans", *(["more"] if carry else [])])
 
-
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, items, spans (bytes start to end, words first to last, merged): one row per input row.
-
-    Null or empty text has no words. Items with null or wordless text have no window; items that repeat count once by
-    item_id. Rows that repeat a doc_id, or have none, are searched each. Other columns take no part. A benchmark of more
-    than BLOCK_BYTES goes out in several blocks, each searched in all documents, whose hits are then merged by document.
-    """
-    b = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = b.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    d = doc_texts(docs)
-    if blocks == 1:
-        return _search(d, [tuple(r) for r in b.collect()], False)
-    from cairn.session import checkpoint
-
-    d = checkpoint(d.withColumn("rid", F.monotonically_increasing_id()))
-    found = None
-    for k in range(2 * blocks):  # by hash, so of about half a block each
-        part = _search(d, [tuple(r) for r in b.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * blocks)) == k).collect()], True)
-        found = part if found is None else found.unionByName(part)
-    flat = found.groupBy("rid").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        F.array_sort(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), s["start"].alias("start"), s["end"].alias("end")))))).alias("s"),
-    )
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,first:bigint,last:bigint>>")
-
-    def merge(acc, s):
-        now = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["first"].alias("first"), s["last"].alias("last"))
-        top = F.try_element_at(acc, F.lit(-1))
-        joined = F.struct(top["start"].alias("start"), F.greatest(top["end"], s["end"]).alias("end"), top["first"].alias("first"), F.greatest(top["last"], s["last"]).alias("last"))
-        joins = (F.size(acc) > 0) & (top["last"] + 1 >= s["first"])
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.when(F.size(acc) > 0, joined)))).otherwise(F.concat(acc, F.array(now)))
-
-    merged = flat.withColumn("spans", F.aggregate("s", empty, merge))
-    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["last"] - s["first"] + 1)
-    return merged.select("doc_id", "n_words", n_hit.alias("n_hit"), F.array_sort("items").alias("items"), "spans")
+    d, more = carrying(docs, carry)
+    return d.mapInArrow(work, OUT + more)

@@ -6,6 +6,7 @@ from zlib import crc32
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,8 +66,27 @@ def test_packing(spark, docs, odd, odd_rows, none):
 @settings(deadline=None)
 @given(st.text(max_size=60) | st.sampled_from(["<|endoftext|> x", "a\x85b", "\x1c\x1d a", "don't  stop\n\n x", "é ǅ ɐ 漢"]))
 def test_both_engines(text):
-    key = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    assert packing.load(*key)(text).tolist() == ids_of([text])[0]
+    assert engine()(text).tolist() == ids_of([text])[0]
+
+
+def engine():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.load(path, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, packing.special_tokens(path))
+
+
+def test_engines_on_all_usual_characters():
+    """Each character that the faster engine is given, beside letters, digits, spaces, quotes, line ends and itself."""
+    encode = engine()
+    usual = [chr(i) for i in range(0x250) if not encode.unusual.search(chr(i))]
+    texts = [f"a{c}b {c}{c}{c} {c}1'{c}s\n{c} \t{c}' {c}\n\n  {c}A{d}{c}" for i, c in enumerate(usual) for d in (usual[i - 7], usual[i // 2])]
+    assert len(usual) > 500 and not any(encode.unusual.search(t) for t in texts)
+    assert [encode(t).tolist() for t in texts] == ids_of(texts)
+
+
+def test_special_tokens():
+    """Their strings in a text are the tokens, as the tokenizer has it by default."""
+    assert packing.special_tokens(public_tokenizers.path("byte_bpe_50k.json")) == ("<|endoftext|>",)
+    assert engine()("a <|endoftext|> b").tolist() == [64, 220, 50256, 275, 0]
 
 
 @settings(deadline=None)
@@ -134,10 +154,9 @@ def hits_truth(rows, items):
 ITEMS = [(1, "lorem ipsum dolor"), (2, "Two words"), (3, None), (4, ""), (5, "!!"), (6, "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod"), (7, "漢字 ÉÀ"), (8, "two words"), (9, "labore lorem"), (10, "ab ab ab")]
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 60])
-def test_decontamination(spark, docs, odd, odd_rows, none, monkeypatch, block_bytes):
-    monkeypatch.setattr(fm_decontam, "BLOCK_BYTES", block_bytes)
-    if block_bytes > 1000:
+@pytest.mark.parametrize("block_words", [1 << 20, 12, 1])
+def test_decontamination(spark, docs, odd, odd_rows, none, block_words):
+    if block_words > 1000:
         rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
         items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
         got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in op9_decontamination(spark, SF).collect())
@@ -145,7 +164,7 @@ def test_decontamination(spark, docs, odd, odd_rows, none, monkeypatch, block_by
     extra = [(20, "ab ab ab ab x ab ab ab"), (21, "ab ab"), (22, "lorem ipsum dolor lorem ipsum dolor")]
     more = odd.select("doc_id", "text", "kind").unionByName(spark.createDataFrame([(*r, "") for r in extra], "doc_id bigint, text string, kind string"))
     bench = spark.createDataFrame([(i, t, "x") for i, t in ITEMS], "item_id bigint, text string, doc_id string")
-    found = fm_decontam.find(more, bench).collect()
+    found = fm_decontam.find(more, bench, block_words=block_words).collect()
     got = sorted((r.doc_id or 0, r.n_words, r.n_hit, len(r["items"]), sha256(",".join(sorted(map(str, r["items"]))).encode()).hexdigest()) for r in found)
     assert got == sorted((d or 0, *x) for d, *x in hits_truth(odd_rows + extra, ITEMS))
     texts = dict(odd_rows + extra)
@@ -153,6 +172,7 @@ def test_decontamination(spark, docs, odd, odd_rows, none, monkeypatch, block_by
         if r.doc_id in (4, 20, 22):
             cut = " ".join(texts[r.doc_id].encode()[s.start : s.end].decode() for s in r.spans)
             assert len(re.findall(r"\w+", cut)) == r.n_hit == sum(s.last - s.first + 1 for s in r.spans)
+    assert len(fm_decontam._blocks(bench, block_words)[0]) == {1 << 20: 1, 12: 2, 1: 7}[block_words]
     assert fm_decontam.find(none, bench).count() == 0
     assert {r.n_hit for r in fm_decontam.find(odd, bench.limit(0)).collect()} == {0}
 
@@ -162,11 +182,78 @@ def test_decontamination(spark, docs, odd, odd_rows, none, monkeypatch, block_by
 def test_fm_index(symbols, phrase):
     s = np.array([*symbols, 0], np.int64)
     index = fm_decontam.FMIndex(s, 3)
-    lo, hi = index.count(np.array([[-1] * (4 - len(phrase)) + phrase]))
+    lo, hi = index.count(np.array(phrase), np.array([0]), np.array([len(phrase)]))
     want = [i for i in range(len(s)) if s[i : i + len(phrase)].tolist() == phrase]
     assert sorted(index.locate(np.arange(lo[0], hi[0])).tolist()) == want
 
 
+def test_long_items(spark, monkeypatch):
+    """An item that comes in pieces has all its windows."""
+    rng = np.random.default_rng(8)
+    item = [f"w{i}" for i in rng.integers(0, 500, 200)]
+    rows = [(i, " ".join(["x", *item[k : k + n], "y"])) for i, (k, n) in enumerate(zip(rng.integers(0, 180, 60).tolist(), rng.integers(8, 30, 60).tolist(), strict=True))]
+    items = [(1, " ".join(item)), (2, " ".join(item[:9])), (3, " ".join(item[20:50]))]
+    monkeypatch.setattr(fm_decontam, "PIECE_WORDS", 7)
+    got = list(fm_decontam._item_words(iter([pa.RecordBatch.from_pylist([{"item_id": i, "text": t} for i, t in items])])))[0].to_pylist()
+    blocks = [fm_decontam.Phrases([r["item_id"] for r in got], [np.frombuffer(r["words"], np.uint64) for r in got])]
+    assert len(got) == 28 + 1 + 3 and len(blocks[0].start) == 191 + 1 + 21
+    df, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    found = sorted((r.doc_id, r.n_words, r.n_hit, len(r["items"]), sha256(",".join(sorted(map(str, r["items"]))).encode()).hexdigest()) for r in fm_decontam.find(df, bench, block_words=40).collect())
+    assert found == sorted(hits_truth(rows, items)) and any(r[2] for r in found)
+
+
+def test_language_filters(docs):
+    """The filters against plain sets: no n-gram of a language is missing, the others appear about as often as is
+    taken off, and the corrected counts come near the plain ones."""
+    docs = docs.sparkSession.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+    def plain(text):
+        b = [c if 97 <= c <= 122 or c >= 128 else 32 for c in f" {text.lower()} ".encode()]
+        return [bytes(b[i : i + 4]) for i in range(len(b) - 3) if b[i + 1] != 32 and b[i + 2] != 32]
+
+    rows = [r for r in docs.collect() if r.lang is not None]
+    count = defaultdict(lambda: defaultdict(int))
+    for r in rows:
+        if not langid.is_held_out(r.doc_id):
+            for g in plain(r.text):
+                count[r.lang][g] += 1
+    total = {k: sum(n for n in c.values() if n >= langid.LEAST) for k, c in count.items()}
+    rate = {k: {g: n / total[k] for g, n in c.items() if n >= langid.LEAST} for k, c in count.items()}
+    top = defaultdict(float)
+    for c in rate.values():
+        for g, x in c.items():
+            top[g] = max(top[g], x)
+    sets = {k: {g for g, x in c.items() if x >= langid.SHARE * top[g]} for k, c in rate.items()}
+    filters = langid.train(docs)
+    assert filters.langs == sorted(sets)
+    agree, n_out = 0, 0
+    for r in rows:
+        if not langid.is_held_out(r.doc_id):
+            continue
+        grams = plain(r.text)
+        row, g = langid.grams(pa.array([r.text], pa.large_string()))
+        assert [bytes(x) for x in g.astype(">u4").view(np.uint8).reshape(-1, 4)] == grams and not row.any()
+        hit = filters.table[(at := langid._rows(g))[0]]
+        for a in at[1:]:
+            hit = hit & filters.table[a]
+        real = []
+        for i, lang in enumerate(filters.langs):
+            inside = np.array([x in sets[lang] for x in grams], bool)
+            bit = (hit[:, 0] >> np.uint64(i) & np.uint64(1)).astype(bool)
+            assert bit[inside].all()
+            real.append(inside.sum())
+            assert bit[~inside].sum() <= 2 * filters.false[i] * (~inside).sum() + 6 * np.sqrt(len(grams)) * filters.false[i] + 12
+        if grams and max(real) > 0:
+            n_out += 1
+            agree += filters.predict(pa.array([r.text], pa.large_string()))[0][0] in [k for k, v in zip(filters.langs, real, strict=True) if v == max(real)]
+    assert n_out > 100 and agree >= 0.99 * n_out
+
+
+@pytest.mark.parametrize(("text", "letters"), [("½ ② ²", False), ("٣ 五", True), ("ª", True), ("12-3_4", False), ("́̂", False), ("ʰ", True)])
+def test_language_letters(text, letters):
+    assert bool(langid._LETTER.search(text)) == letters == any(c.isalpha() for c in text)
+
+
 def test_language(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lang = {r.doc_id: r.lang for r in docs.collect()}
@@ -203,8 +290,6 @@ def test_quality_by_definition(spark, docs):
     """Log ratios against counts made in plain Python."""
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     sample = {r.doc_id: r for r in importance.labelled_sample(labels).collect()}
-    import pyarrow as pa
-
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     raw, target, size = defaultdict(int), defaultdict(int), 1 << importance.BITS
     bags = {}
