@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cairn.llm import fm_decontam, importance, langid, license, maglev, packing, wordpiece
+from cairn.llm.common import ngrams, raw, word_hashes
 from cairn.llm.entry import op4_sharding, op6_packing, op7_token_counts, op9_decontamination
 
 SF = "/root/testdata/sf0.001"
@@ -287,21 +288,65 @@ def test_quality(spark, odd, none):
 
 
 def test_quality_by_definition(spark, docs):
-    """Log ratios against counts made in plain Python."""
+    """Ratios, keys and what is kept, from tokens, counts and quantiles made in plain Python."""
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     sample = {r.doc_id: r for r in importance.labelled_sample(labels).collect()}
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    raw, target, size = defaultdict(int), defaultdict(int), 1 << importance.BITS
-    bags = {}
-    for i, t in rows:
-        bags[i] = importance.features(pa.array([t], pa.large_string()))[1].tolist()
-        for b in bags[i]:
-            raw[b] += 1
-            if i in sample and sample[i].good and not sample[i].held:
-                target[b] += 1
-    share = lambda c, b: np.log((c[b] + 1) / (sum(c.values()) + size))
-    for r in importance.score(docs, labels).limit(20).collect():
-        assert abs(r.log_ratio - sum(share(target, b) - share(raw, b) for b in bags[r.doc_id])) < 1e-6
+    hashes = {}
+
+    def number(token):
+        if token not in hashes:
+            hashes[token] = word_hashes(*raw(pa.array([token], pa.large_binary())), np.ones(256, bool), lower=False)[3][0]
+        return hashes[token]
+
+    def bag(text):
+        token = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff \t-\r]+", text.encode())
+        pairs = [ngrams(np.zeros(2, int), np.array([number(a), number(b)]), 2, 5)[1][0] for a, b in zip(token, token[1:], strict=False)]
+        plain = [t.translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))) for t in token if t[:1].isalnum() or t[0] >= 128]
+        return [int(h) >> 64 - importance.BITS for h in [*map(number, token), *pairs]], [int(number(w)) >> 64 - importance.WORD_BITS for w in plain]
+
+    bags = {i: bag(t) for i, t in rows}
+    trained = {i for i, r in sample.items() if r.part == "train" and r.good}
+    count = [[defaultdict(int), defaultdict(int)] for _ in range(2)]  # n-grams and words, in all and in good ones
+    for i, both in bags.items():
+        for k in range(2):
+            for x in both[k]:
+                count[k][0][x] += 1
+                count[k][1][x] += i in trained
+    total = [[sum(c.values()) for c in cs] for cs in count]
+    share = lambda c, x: np.log((count[0][c][x] + 1) / (total[0][c] + (1 << importance.BITS)))
+    low = lambda x: min(0, np.log((count[1][1][x] + 1) / (count[1][0][x] * total[1][1] / total[1][0] + 1)) - importance.FLOOR)
+    noise = {r.doc_id: (r.a, r.b) for r in docs.select("doc_id", importance.gumbel(F.col("doc_id"), 1).alias("a"), importance.gumbel(F.col("doc_id"), 2).alias("b")).collect()}
+    want = {}
+    for i, (grams, words) in bags.items():
+        ratio = importance.PER * sum(share(1, x) - share(0, x) for x in grams) / max(1, len(grams)), sum(map(low, words))
+        want[i] = *ratio, ratio[0] + noise[i][0], ratio[1] + noise[i][1]
+    held = [want[i] for i, r in sample.items() if r.part == "choose" and r.good and i in want]
+    least = [np.quantile([w[k] for w in held], importance.LOSS / 2) for k in (2, 3)]
+    got = importance.score(docs, labels).collect()
+    assert len(got) == len(want) and len(held) > 10
+    for r in got:
+        w = want[r.doc_id]
+        assert np.allclose([r.log_ratio, r.word_ratio, r.key, r.word_key], w, atol=2e-4)
+        assert r.kept == (w[2] >= least[0] - 2e-4 and w[3] >= least[1] - 2e-4)
+    assert {r.kept for r in got} == {True, False}
+
+
+def test_quality_counts_in_a_tree(spark, docs, monkeypatch):
+    """The same counts whatever the number of tasks, and of tasks whose counts are merged at a time."""
+    d = docs.select("doc_id", "text", (F.col("doc_id") % 3 == 0).alias("good"))
+    one = importance.count_tree(d.coalesce(1), 1)
+    monkeypatch.setattr(importance, "FAN", 3)
+    many = importance.count_tree(d.repartition(11), 11)
+    assert (one == many).all() and one[0].sum() > 50_000 and 0 < one[1].sum() < one[0].sum()
+
+
+def test_quality_on_unused_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scored = importance.score(docs, labels, carry=["lang", "text"])
+    assert scored.filter("more.text is null").count() == 0 and scored.count() == docs.count()
+    share = {r.label: r.kept / r.documents for r in importance.figures(scored, labels).collect()}
+    assert share["good"] >= 0.98 and share["low quality"] <= 0.05 and share["toxic"] <= 0.35
 
 
 def test_quality_words(spark):
@@ -310,7 +355,7 @@ def test_quality_words(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(4000)], "doc_id bigint, quality int, toxic int")
     got = importance.score(docs, labels).collect()
-    n = sum(r.good and not r.held for r in importance.labelled_sample(labels).collect())
+    n = sum(r.good and r.part == "train" for r in importance.labelled_sample(labels).collect())
     want = np.log(1 / (1000 * n / 4000 + 1)) - importance.FLOOR
     assert all(abs(r.word_ratio - (want if r.doc_id % 4 == 0 else 0)) < 1e-4 for r in got)
     assert sum(r.kept for r in got if r.doc_id % 4) >= 0.98 * 3000
