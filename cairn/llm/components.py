@@ -12,17 +12,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id on an edge (a, b); component is the smallest id reachable.
 
     Each step is a map-side combined minimum by node and a join back, so a hub's edges are never in one group; the
-    joins are plain equi-joins that adaptive execution may split. Every step's edges are checkpointed; only one
-    checksum a step reaches the driver. An empty edge table gives an empty result; loops (a, a) give (a, a).
+    minima are shuffled by themselves, as a join of two shuffles is one whose hot partitions adaptive execution splits.
+    Every step's edges are checkpointed; only one checksum a step reaches the driver. An empty edge table gives an empty result; loops (a, a) give (a, a).
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, before = checkpoint(e), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).repartition("u")
         large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.filter(F.col("u") > F.col("v")).distinct()
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        low = down.groupBy("u").agg(F.min("v").alias("m")).repartition("u")
         kept = down.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = kept.unionByName(low.select("u", F.col("m").alias("v"))).filter(F.col("u") > F.col("v")).distinct()
         e = checkpoint(small)

@@ -6,14 +6,17 @@ minhashes each take 40 minhashes instead of 400. At a similarity of 0.75 a pair
 probability 1 - (1 - 0.75 ** 2) ** 10 = 0.9997, and some table with 0.9995.
 
 A document enters the cells of its left collections that another document shares too; that it shares a right collection
-with another member, so some table's cell, is seen inside the task, which also compares the minhash bytes. A cell that
-more than BLOCK documents enter is dealt out as pairs of blocks, so all members meet and no task holds all of it. No
-pair is emitted as a row: a task reports a spanning forest of its candidates.
+with another member, so some table's cell, is seen inside the task, which also compares the minhash bytes. No pair is
+emitted as a row: a task reports a spanning forest of its candidates.
 
 Documents with one and the same shingle set form a class, and its smallest doc_id stands for it, before any table is
-built. The components of the candidates are groups; all pairs of a group are compared on their full sets, again dealt
-as pairs of blocks, by counting common shingles (a product of incidence matrices), and each task reports a spanning
-forest of the true links.
+built. The components of the candidates are groups; the members of a group are compared on their full sets, by counting
+common shingles (a product of incidence matrices), and each task reports a spanning forest of the true links.
+
+Cells and groups of more than a block are gone through in two rounds, as only who is connected counts. First all members
+meet a few leaders, in tasks of a block of members each. Those whom the leaders connect need not meet one another; the
+others meet all, dealt as pairs of blocks. So a group of very many copies of one text costs as much as its size, and only
+those who are near no leader are paired with everyone. No pair goes unseen but those connected already.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ HASHES = 2 * GROUPS * ROWS
 LEAST_AGREE = 11
 #: Documents, and bytes of hashes, of a block; members up to which cells and groups are gone through many at once.
 BLOCK, BLOCK_BYTES, SMALL = 512, 1 << 22, 16
+#: Members that all others of a cell or group of several blocks meet first.
+LEADERS = 4
 
 _A = constants(11, HASHES)
 _B = constants(12, HASHES)
@@ -257,25 +262,101 @@ def _link(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _forest(work())
 
 
-def _dealt(members: DataFrame, size: DataFrame) -> DataFrame:
-    """Members (key, id, ...) as pairs of blocks (i, j) of their key; `size` (key, blocks)."""
-    d = members.join(size, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("blocks = 1 or block <> other")
-    d = d.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("block", "other", "blocks")
-    return d
+def _star(it: Iterator[pa.RecordBatch], near) -> Iterator[pa.RecordBatch]:
+    """key, id, mask: which leaders (rows with a rank) of its cell or group each member is near; near(table, start, end,
+    leader) says it for rows start to end."""
+    for table, start in _whole_groups(it):
+        rank, ids, key = (table.column(c).to_numpy() for c in ("rank", "id", "key"))
+        mask = np.zeros(len(ids), np.int64)
+        for s, e in zip(start, np.append(start[1:], len(ids)), strict=True):
+            for k in s + np.flatnonzero(rank[s:e] >= 0):
+                mask[s:e] |= near(table, s, e, k).astype(np.int64) << rank[k]
+        member = rank < 0
+        yield pa.RecordBatch.from_arrays([pa.array(x[member], pa.int64()) for x in (key, ids, mask)], names=["key", "id", "mask"])
+        pa.default_memory_pool().release_unused()
+
+
+def _star_cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(table: pa.Table, s: int, e: int, k: int) -> np.ndarray:
+        n = table.column("n_shingles").to_numpy()[s:e]
+        data = np.frombuffer(b"".join(table.column("sig").slice(s, e - s).to_pylist()), np.uint8).reshape(e - s, HASHES + 4 * GROUPS)
+        right = np.ascontiguousarray(data[:, HASHES:]).view("<u4")
+        return _fits(n, data[:, :HASHES], right, np.full(e - s, k - s), np.arange(e - s))
+
+    return _star(it, near)
+
+
+def _star_groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept: dict[tuple, tuple] = {}
+
+    def near(table: pa.Table, s: int, e: int, k: int) -> np.ndarray:
+        if (id(table), s) not in kept:
+            kept.clear()
+            kept[id(table), s] = shingles(text_column(table, "text").slice(s, e - s))
+        r, g = kept[id(table), s]
+        have, own = np.bincount(r, minlength=e - s), g[r == k - s]
+        place = np.searchsorted(own, g)
+        place[place == len(own)] = 0
+        inter = np.bincount(r[own[place] == g], minlength=e - s) if len(own) else np.zeros(e - s, np.int64)
+        return (inter > 0) & (100 * inter >= SIMILARITY * (have + len(own) - inter))
+
+    return _star(it, near)
 
 
 def _blocks(n: Column) -> Column:
     return F.ceil(n).cast("int").alias("blocks")
 
 
+def _block_of(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+
+
+def _each(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _connected(members: DataFrame, size: DataFrame, facts: DataFrame, star, compare, parts: int) -> DataFrame:
+    """(a, b): a spanning forest, for each key of the members (key, id), of the pairs that `compare` finds near, with
+    what `facts` has by id. `size` (key, blocks) has the keys to look at."""
+    edges = "a bigint, b bigint"
+
+    def dealt(rows: DataFrame, more: list[str]) -> DataFrame:
+        d = rows.join(facts, "id").select("key", "i", "j", *more, *facts.columns)
+        return d.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+
+    size = checkpoint(size)
+    whole = members.join(size.filter("blocks = 1").select("key"), "key").select("key", "id", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    if size.filter("blocks > 1").isEmpty():
+        return dealt(whole, []).mapInArrow(compare, edges).distinct()
+    large = checkpoint(members.join(size.filter("blocks > 1"), "key").select("key", "id", "blocks"))
+    by_luck = [F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(1, LEADERS)]
+    lead = large.groupBy("key").agg(F.array_distinct(F.array(F.min("id"), *by_luck)).alias("lead"), F.first("blocks").alias("blocks"))
+    lead = checkpoint(lead)
+    everywhere = lead.select("key", _each("blocks").alias("i"), "lead").select("key", "i", F.posexplode("lead").alias("rank", "id"))
+    rows = large.select("key", _block_of("blocks").alias("i"), F.lit(-1).alias("rank"), "id").unionByName(everywhere)
+    met = checkpoint(dealt(rows.withColumn("j", F.lit(0)), ["rank"]).mapInArrow(star, "key bigint, id bigint, mask bigint"))
+    bit = lambda k: F.shiftright("mask", k).bitwiseAND(F.lit(1))
+    many = F.array(*[F.sum(bit(k)) for k in range(LEADERS)])
+    per = met.groupBy("key").agg(F.collect_set("mask").alias("masks"), many.alias("n"))  # 2 ** LEADERS masks at most
+    # leaders that members have in common with the one that has most of them
+    first = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.array_position("n", F.array_max("n")) - 1).cast("int"))
+    widen = F.aggregate(F.flatten(F.array_repeat("masks", LEADERS)), first, lambda a, m: F.when(a.bitwiseAND(m) != 0, a.bitwiseOR(m)).otherwise(a))
+    out = met.join(per.select("key", widen.alias("main")), "key").withColumn("left", F.col("mask").bitwiseAND(F.col("main")) == 0)
+    rest = out.groupBy("key").agg(_blocks(F.count("*") / BLOCK).alias("all_blocks"), _blocks(F.count_if("left") / BLOCK).alias("left_blocks"))
+    out = checkpoint(out.join(rest.filter("left_blocks > 0"), "key").select("key", "id", "left", "all_blocks", "left_blocks"))
+    those = out.filter("left").select("key", "id", _block_of("left_blocks").alias("i"), _each("all_blocks").alias("j"))
+    all_ = out.select("key", "id", _each("left_blocks").alias("i"), _block_of("all_blocks").alias("j"))
+    stars = met.join(lead.select("key", "lead"), "key").select("id", F.posexplode("lead").alias("k", "b"), "mask")
+    stars = stars.filter((F.call_function("shiftright", "mask", "k").bitwiseAND(F.lit(1)) == 1) & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b")
+    pairs = whole.unionByName(those).unionByName(all_)
+    return dealt(pairs, []).mapInArrow(compare, edges).unionByName(stars).distinct()
+
+
 def _candidates(classes: DataFrame, parts: int) -> DataFrame:
     """(a, b): a spanning forest of the pairs that share a table's cell and agree in size and minhashes."""
     spots = classes.select("id", F.explode("sides").alias("key"))
     full = spots.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", _blocks(F.col("n") / BLOCK))
-    rich = _dealt(spots, full).join(classes.select("id", "n_shingles", "sig"), "id").select("key", "i", "j", "id", "n_shingles", "sig")
-    rich = rich.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    return rich.mapInArrow(_meet, "a bigint, b bigint").distinct()
+    return _connected(spots, full, classes.select("id", "n_shingles", "sig"), _star_cells, _meet, parts)
 
 
 def _confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
@@ -283,9 +364,7 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, parts: int)
     group = checkpoint(connected_components(pairs).select("id", F.col("component").alias("key")))
     per = group.join(sigs.groupBy("id").agg(F.sum("n_shingles").alias("n")), "id").groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
     size = per.select("key", _blocks(F.greatest(F.col("m") / BLOCK, F.col("n") * 8 / BLOCK_BYTES)))
-    rich = _dealt(group, size).join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("key", "i", "j", "id", "text")
-    rich = rich.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    return rich.mapInArrow(_link, "a bigint, b bigint").distinct()
+    return _connected(group, size, texts.select(F.col("doc_id").alias("id"), "text"), _star_groups, _link, parts)
 
 
 SIGNED = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sig binary, sides array<bigint>"

@@ -115,6 +115,31 @@ def test_minhash_siblings(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == truth
 
 
+def test_minhash_large_groups(spark, monkeypatch):
+    """Groups of several blocks: copies of one text, of two texts that only some copies connect, and long ones."""
+    rng = np.random.default_rng(11)
+
+    def edited(words, n, tag):
+        w = list(words)
+        for k in rng.choice(len(w), n, replace=False):
+            w[k] = f"{tag}_{k}"
+        return " ".join(w)
+
+    base = [f"w{i}" for i in range(150)]
+    other = [f"v{i}" if i < 5 else x for i, x in enumerate(base)]  # each of its copies is near some of the first
+    rows = [(i, edited(base, int(rng.integers(0, 4)), f"a{i}")) for i in range(90)]
+    rows += [(100 + i, edited(other, int(rng.integers(0, 5)), f"b{i}")) for i in range(90)]
+    rows += [(200 + i, edited([f"z{k % 40}" for k in range(160)], int(rng.integers(0, 9)), f"c{i}")) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    truth = near_truth(rows)
+    monkeypatch.setattr(minhash, "BLOCK", 25)
+    seen = []
+    star = minhash._connected
+    monkeypatch.setattr(minhash, "_connected", lambda m, size, *a: seen.append(size.filter("blocks > 1").count()) or star(m, size, *a))
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == truth
+    assert len(seen) == 2 and all(seen) and len(set(truth.values())) < 100
+
+
 def test_substrings_documents(spark, docs):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     got = {r.doc_id: r for r in op5_substring_dedup(spark, "/root/testdata/sf0.001").collect()}
