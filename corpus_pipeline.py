@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences: five stages, each over all that the one before kept."""
+"""From raw documents to packed training sequences: five stages, each over all that the one before kept.
+
+Rows without a doc_id, and rows that share one, are documents of their own throughout: no stage looks a row up by its
+doc_id. Operators carry the columns of documents along; where rows must be found again, they have a number of their own.
+"""
 
 from __future__ import annotations
 
@@ -15,36 +19,33 @@ from cairn.session import checkpoint
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """The documents with the texts of `changed` (doc_id, text); n_chars follows. A doc_id has one row from here on."""
-    other = docs.select("doc_id", "lang", "source").dropDuplicates(["doc_id"])
-    return changed.join(other, "doc_id").withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
-
-
-def _named(docs: DataFrame) -> DataFrame:
-    return docs.filter("doc_id is not null").select(*COLUMNS)
+def _changed(rows: DataFrame, text: Column) -> DataFrame:
+    """The columns of documents from `more`, with another text; n_chars follows where the text is another."""
+    same = F.coalesce(F.col("more.text"), F.lit("")) == F.col("text")
+    new = {"text": F.when(same, F.col("more.text")).otherwise(F.col("text")), "n_chars": F.when(same, F.col("more.n_chars")).otherwise(F.length("text").cast("bigint"))}
+    return rows.withColumn("text", text).select(*[new.get(c, F.col(f"more.{c}")).alias(c) for c in COLUMNS])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling draws; documents without a doc_id go here."""
-    docs = _named(docs)
-    kept = importance.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Documents that importance resampling draws."""
+    scored = importance.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=COLUMNS)
+    return scored.filter("kept").select("more.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id."""
-    docs = _named(docs)
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group of near copies: that of the smallest doc_id, without one only where none has any."""
+    rows = checkpoint(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    found = minhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"))
+    groups = found.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = groups.groupBy("component_id").agg(F.min_by("row", first).alias("row")).select("row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated passages; a character that lost some of its bytes goes whole."""
-    docs = _named(docs)
     whole = F.arrow_udf(_decoded, "string")
-    found = radix_dedup.remove_repeats(docs).select("doc_id", whole("kept").alias("text"))
-    return _with_text(docs, found)
+    return _changed(radix_dedup.remove_repeats(docs, COLUMNS), whole("kept"))
 
 
 def _decoded(kept: pa.Array) -> pa.Array:
@@ -53,10 +54,8 @@ def _decoded(kept: pa.Array) -> pa.Array:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the spans that occur in the benchmark."""
-    docs = _named(docs)
-    spans = fm_decontam.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("n_hit > 0").select("doc_id", "spans")
-    spans = spans.groupBy("doc_id").agg(F.first("spans").alias("spans"))
-    return docs.join(spans, "doc_id", "left").withColumn("text", _cut("text", "spans")).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    found = fm_decontam.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), COLUMNS)
+    return _changed(found, _cut("more.text", "spans"))
 
 
 def _cut(text: str, spans: str) -> Column:
@@ -66,7 +65,7 @@ def _cut(text: str, spans: str) -> Column:
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(bytearray()).alias("out"))
     step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], part(acc["at"], s["start"])).alias("out"))
     done = lambda acc: F.decode(F.concat(acc["out"], part(acc["at"], F.octet_length(data).cast("bigint"))), "UTF-8")
-    return F.when(F.col(spans).isNull(), F.col(text)).otherwise(F.aggregate(spans, start, step, done))
+    return F.when(F.size(spans) == 0, F.coalesce(F.col(text), F.lit(""))).otherwise(F.aggregate(spans, start, step, done))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
