@@ -364,7 +364,9 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, parts: int)
     group = checkpoint(connected_components(pairs).select("id", F.col("component").alias("key")))
     per = group.join(sigs.groupBy("id").agg(F.sum("n_shingles").alias("n")), "id").groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
     size = per.select("key", _blocks(F.greatest(F.col("m") / BLOCK, F.col("n") * 8 / BLOCK_BYTES)))
-    return _connected(group, size, texts.select(F.col("doc_id").alias("id"), "text"), _star_groups, _link, parts)
+    # the one shuffle of the texts: those of groups, a small part, go on
+    own = checkpoint(texts.select(F.col("doc_id").alias("id"), "text").join(group.select("id"), "id", "left_semi"))
+    return _connected(group, size, own, _star_groups, _link, parts)
 
 
 SIGNED = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sig binary, sides array<bigint>"
