@@ -8,27 +8,35 @@ from pyspark.sql import functions as F
 from cairn.session import checkpoint
 
 
+def _lowest(edges: DataFrame) -> DataFrame:
+    """(u, m): the smallest v of each u."""
+    low = edges.groupBy(F.bitwise_not("u").alias("w")).agg(F.min("v").alias("m"))
+    return low.select(F.bitwise_not("w").alias("u"), "m")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id on an edge (a, b); component is the smallest id reachable.
 
-    Each step is a map-side combined minimum by node and a join back, so a hub's edges are never in one group; the
-    minima are shuffled by themselves, as a join of two shuffles is one whose hot partitions adaptive execution splits.
-    Every step's edges are checkpointed; only one checksum a step reaches the driver. An empty edge table gives an empty result; loops (a, a) give (a, a).
+    Each step is a map-side combined minimum by node and a join back, so a hub's edges are never in one group. Minima are
+    grouped by the inverted node, so that the join shuffles both its sides: only such a join's hot partitions are split by
+    adaptive execution. Every step's edges are checkpointed; only whether all are stars by now reaches the driver. An empty edge table gives an empty result; loops (a, a) give (a, a).
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, before = checkpoint(e), None
-    while True:
+    e = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while not _flat(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).repartition("u")
+        low = _lowest(both).withColumn("m", F.least("m", "u"))
         large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.filter(F.col("u") > F.col("v")).distinct()
-        low = down.groupBy("u").agg(F.min("v").alias("m")).repartition("u")
+        low = _lowest(down)
         kept = down.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = kept.unionByName(low.select("u", F.col("m").alias("v"))).filter(F.col("u") > F.col("v")).distinct()
-        e = checkpoint(small)
-        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.coalesce(F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.lit(0))).first())
-        if now == before:
-            break
-        before = now
+        e = checkpoint(kept.unionByName(low.select("u", F.col("m").alias("v"))).filter(F.col("u") > F.col("v")).distinct())
     ids = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    return ids.join(e.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
+    return ids.join(e.filter("u > v").select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
+
+
+def _flat(e: DataFrame) -> bool:
+    """Whether each node has one smaller neighbour at most, and none if it is itself one."""
+    one, zero = F.lit(1), F.lit(0)
+    ends = e.filter("u > v").select(F.col("u").alias("x"), one.alias("up"), zero.alias("down"))
+    ends = ends.unionByName(e.filter("u > v").select(F.col("v").alias("x"), zero.alias("up"), one.alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).filter("up > 1 or up > 0 and down > 0").isEmpty()
