@@ -34,7 +34,7 @@ FLOOR = -1.5
 ALL = (1 << BITS) + (1 << WORD_BITS)
 #: Counts travel in slices of so many buckets, and so many tasks' slices are added up by one task at a time; bytes of
 #: input (as Catalyst estimates them) that a task is taken to count.
-SLICE, FAN, TASK_BYTES = 1 << 16, 32, 16 << 20
+SLICE, FAN, TASK_BYTES = 1 << 12, 32, 16 << 20
 
 _WORD = np.zeros(256, bool)
 for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
