@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import fm_decontam, importance, langid, lattice, license, maglev, minhash, packing, radix_dedup, wordpiece
+from cairn.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "RANKS", "TOKENIZER"]
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -60,4 +63,3 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_minhash_dedup, op3_embedding_dedup, op4_sharding, op5_substring_dedup, op6_packing, op7_token_counts, op8_language_id, op9_decontamination, op10_quality)}
-ORACLES = {"op4_sharding": maglev.oracle()}
