@@ -32,9 +32,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter("kept").select("more.*")
 
 
+#: doc_ids that are null or repeated, up to which these (8 bytes each) are broadcast.
+BROADCAST_IDS = 1_000_000
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number `row` of their own: their doc_id, or where that is null or repeated a number below all
+    doc_ids. Only the latter documents are checkpointed, so that they keep their numbers."""
+    ids = checkpoint(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is null or n > 1").select(F.col("doc_id").alias("odd")))
+    n = ids.count()
+    if n == 0:
+        return docs.withColumn("row", F.col("doc_id"))
+    odd = F.broadcast(ids) if n <= BROADCAST_IDS else ids
+    same = F.col("doc_id").eqNullSafe(F.col("odd"))
+    least = docs.agg(F.min("doc_id")).first()[0]
+    below = F.lit(min(0, least or 0)) - 1 - F.monotonically_increasing_id()
+    some = checkpoint(docs.join(odd, same, "left_semi").withColumn("row", below))
+    return docs.join(odd, same, "left_anti").withColumn("row", F.col("doc_id")).unionByName(some)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id, without one only where none has any."""
-    rows = checkpoint(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    rows = _numbered(docs.select(*COLUMNS))
     found = minhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"))
     groups = found.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
