@@ -15,6 +15,8 @@ from array import array
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 import zstandard
@@ -166,10 +168,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     notices that overlap the one whose block saves most counts. Documents without a sign word are skipped.
     """
     chosen = templates or TEMPLATES
-    # a version's sign may stand in the text in a longer form, which its digits begin
-    any_sign = "|".join(re.escape(w) for w in sorted({w for t in chosen.values() for w in signs(words(t))}))
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    d = d.filter(F.col("text").rlike("(?iu)" + any_sign) if any_sign else F.lit(False))
+    # a sign may stand in the text in a longer form (v2.0 for 2), which holds it; lower-cased once, then plain searches
+    some = sorted({w for t in chosen.values() for w in signs(words(t))})
+    any_sign = F.exists(F.array(F.lower("text")), lambda t: reduce(or_, (t.contains(F.lit(w)) for w in some), F.lit(False)))
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(any_sign)
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(chosen)
