@@ -480,7 +480,7 @@ def _(spark, sf):
     return reports.islands(cells, ["y"], "x", "v")
 
 
-@query("bench_json", f"select * from {BENCH_DUCK}")
+@query("bench_json", f"select corpus, tool, cast(raw_bytes as bigint) as raw_bytes, cast(packed_bytes as bigint) as packed_bytes, compress_s, decompress_s from {BENCH_DUCK}")
 def _(spark, sf):
     with scratch(spark) as folder:
         at = os.path.join(folder, "results")

@@ -34,7 +34,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not sc.master.startswith("local["):
+    if not shared and sc.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
 
