@@ -61,6 +61,18 @@ def window_log(block_size: Column) -> Column:
     return expr
 
 
+def resolved(preset: Column, codec: Column, level: Column) -> tuple[Column, Column]:
+    """Codec id and level of choices in rows, as resolve() has them; null where that refuses them."""
+    names = F.create_map(*[F.lit(x) for name, (c, _) in PRESETS.items() for x in (name, c)])
+    levels = F.create_map(*[F.lit(x) for name, (_, lv) in PRESETS.items() for x in (name, lv)])
+    default = F.create_map(*[F.lit(x) for kv in DEFAULT_LEVEL.items() for x in kv])
+    own = codec_id(F.coalesce(codec, F.lit("zstd")))
+    alone = codec.isNull() & level.isNull()
+    by_name = F.when(alone, F.try_element_at(names, preset)), F.when(alone, F.try_element_at(levels, preset))
+    by_codec = own, F.when(own.isNotNull(), F.coalesce(level, F.try_element_at(default, own)))
+    return tuple(F.when(preset.isNotNull(), a).otherwise(b) for a, b in zip(by_name, by_codec, strict=True))
+
+
 def resolve(preset: str | None = None, codec: str | None = None, level: int | None = None) -> tuple[int, int]:
     """(codec id, level) from command-line choices."""
     if preset is not None:

@@ -16,6 +16,7 @@ from cairn.plans.trees import FILES, HOSTILE, MODE_DIR, MODE_FILE, MODE_LINK, SH
 from cairn.schema import FOOTER_LEN, HEADER_LEN
 from cairn.session import checkpoint, scratch
 from cairn.sources.container import WriteOptions, block_frame, contents, decode_blocks, encode_blocks, read_footer, verify, write_container
+from cairn.sources.extract import conflicts, entries_of
 
 CAP, TINY = 65_536, 4_096
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -148,9 +149,19 @@ def _(spark, sf):
     return blocks.select("block", classify.codec_name(codec).alias("codec_name"), "rlen")
 
 
-@query("preset_resolve", "select * from (values ('balanced', 'zstd', 12), ('fast', 'zstd', 3), ('max', 'xz', 9)) t(preset, codec, level)")
+CHOICES = [("fast", None, None), ("balanced", None, None), ("max", None, None), ("best", None, None), ("max", "xz", None), ("fast", None, 3), (None, None, None), (None, "XZ", None), (None, "none", None), (None, "lzma2", 4), (None, None, 19), (None, "lz4", 1)]
+_CHOICES = ", ".join("(" + ", ".join("null" if x is None else repr(x) for x in c) + ")" for c in CHOICES)
+
+
+@query("preset_resolve", f"""with c as (select cast(preset as varchar) as preset, cast(codec as varchar) as codec, cast(level as integer) as level from (values {_CHOICES}) t(preset, codec, level)),
+  k as (select *, case lower(coalesce(codec, 'zstd')) when 'store' then 0 when 'none' then 0 when 'zstd' then 1 when 'xz' then 2 when 'lzma' then 2 when 'lzma2' then 2 end as own from c)
+  select preset, codec, level, case when preset is null then own when codec is not null or level is not null then null when preset = 'max' then 2 when preset in ('fast', 'balanced') then 1 end as codec_id,
+    case when preset is null then case when own is null then null else coalesce(level, case own when 0 then 0 when 1 then 12 else 6 end) end
+      when codec is not null or level is not null then null when preset = 'fast' then 3 when preset = 'balanced' then 12 when preset = 'max' then 9 end as codec_level from k""")
 def _(spark, sf):
-    return spark.createDataFrame([(p, classify.CODECS[c], lv) for p, (c, lv) in classify.PRESETS.items()], "preset string, codec string, level int")
+    c = spark.createDataFrame(CHOICES, "preset string, codec string, level int")
+    codec, level = classify.resolved(F.col("preset"), F.col("codec"), F.col("level"))
+    return c.select("*", codec.alias("codec_id"), level.alias("codec_level"))
 
 
 @query("lane_codec", f"with {FILES} select path, case when lane = 1 then 1 else 2 end as codec, case when lane = 1 then 1 else 9 end as level from f")
@@ -436,11 +447,24 @@ def _(spark, sf):
     return per.join(blocks, "block").groupBy("pattern").agg(F.count("*").alias("n_blocks"), b(F.sum("rlen")).alias("decoded_bytes"), b(F.sum("wanted")).alias("wanted_bytes"))
 
 
+def _touch(path):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb"):
+        pass
+
+
 @query("overwrite_conflicts", f"with {FILES} select path from f where starts_with(path, 'src1/') and lane = 1")
 def _(spark, sf):
-    wanted = docs_tree(spark, sf).filter(paths.matches(F.col("path"), F.lit("src1"))).select("path")
-    existing = docs_tree(spark, sf).filter(classify.lane(F.col("path")) == 1).select("path")
-    return wanted.join(existing, "path", "left_semi")
+    """src1 is asked for where the fast-lane files of all folders lie already."""
+    with scratch(spark) as folder:
+
+        def found(at):
+            dest = os.path.join(folder, "tree")
+            there = lambda rows: [_touch(os.path.join(dest, r.path)) for r in rows]
+            entries_of(spark, at).filter(classify.lane(F.col("path")) == 1).select("path").foreachPartition(there)
+            return checkpoint(conflicts(entries_of(spark, at, selectors=["src1"]), dest).select("path"))
+
+        return _written(spark, sf, found)
 
 
 # --- bench results and small ones

@@ -81,6 +81,12 @@ def _files(dest: str, o: ExtractOptions):
     return write
 
 
+def conflicts(entries: DataFrame, dest: str) -> DataFrame:
+    """The files and links among the entries in whose place something is already."""
+    there = F.udf(lambda rel: os.path.lexists(target(dest, rel)), "boolean")
+    return entries.filter("kind <> 'dir'").filter(there("path"))
+
+
 def extract(spark: SparkSession, path: str, dest: str, selectors: list[str] | None = None, o: ExtractOptions | None = None) -> dict:
     """It is an error if selectors are given and none of them matches anything."""
     o = o or ExtractOptions()
@@ -93,8 +99,7 @@ def extract(spark: SparkSession, path: str, dest: str, selectors: list[str] | No
     others = chosen.filter("kind <> 'file'").groupBy("kind", "path").agg(F.max_by(F.struct("mtime", "mtime_nanos", "link_target"), "entry_id").alias("e")).select("kind", "path", "e.*")
 
     if not o.overwrite:  # nothing is written if anything is there
-        there = F.udf(lambda rel: os.path.lexists(target(dest, rel)), "boolean")
-        if found := chosen.filter("kind <> 'dir'").filter(there("path")).limit(1).collect():
+        if found := conflicts(chosen, dest).limit(1).collect():
             raise FileExistsError(f"{found[0].path} exists")
 
     def make_dirs(rows: Iterable[Row]) -> None:

@@ -70,6 +70,9 @@ def test_resolve_and_human(spark):
         classify.resolve("fast", "zstd")
     with pytest.raises(ValueError):
         classify.resolve(codec="brotli")
+    rows = spark.createDataFrame([("max", None, None), ("max", "xz", None), (None, "LZMA", None), (None, None, 5), ("x", None, None)], "p string, c string, l int")
+    codec, level = classify.resolved(F.col("p"), F.col("c"), F.col("l"))
+    assert [tuple(r) for r in rows.select(codec, level).collect()] == [(2, 9), (None, None), (2, 6), (1, 5), (None, None)]
     df = spark.createDataFrame([(n,) for n in (0, 1023, 1024, 1280, 1 << 50, 1 << 62)], "n bigint")
     assert [r[0] for r in df.select(human(F.col("n"))).collect()] == ["0 B", "1023 B", "1.0 KB", "1.2 KB", "1.0 PB", "4096.0 PB"]
     assert df.select(human(F.col("n"), "TB")).collect()[-1][0] == "4194304.0 TB"
