@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,44 +66,50 @@ def assign_blocks(kept: DataFrame, cap: int, fast_lane: bool = True, part_rows:
     columns = ("path", "walk_id", "piece", "lane", "ext", "dir", "name", "size")
     rows = checkpoint(kept.select(*columns).withColumn("pack_lane", F.col("lane") if fast_lane else F.lit(0)))
     parts = max(1, -(-rows.count() // (part_rows or PART_ROWS)))
-    in_order = ranged(rows, [*order(), F.col("piece")], parts).withColumn("pid", F.spark_partition_id())
-    entry = _chain(in_order.mapInPandas(lambda frames: _summary(frames, cap), SUMMARY).orderBy("pid", "reach").collect(), cap)
-
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    place = [*order(), F.col("piece")]
+    if parts == 1:  # nothing precedes the one range, so there is nothing to chain
+        in_order, entry = rows.repartition(1).sortWithinPartitions(*place).withColumn("pid", F.lit(0)), {0: _START}
+    else:
+        in_order = ranged(rows, place, parts).withColumn("pid", F.spark_partition_id())
+        entry = _chain(in_order.mapInArrow(lambda it: _summary(it, cap), SUMMARY).orderBy("pid", "reach").collect(), cap)
+    out = ["path", "walk_id", "piece", "lane", "size"]
+
+    def assign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
-        for f in frames:
+        for f in it:
             if not len(f):
                 continue
-            lane, used, block = state or entry[int(f.pid.iloc[0])]
+            lane, used, block = state or entry[f.column("pid")[0].as_py()]
             blocks, offsets = [], []
-            for ln, s in zip(f.pack_lane.tolist(), f["size"].tolist(), strict=True):
+            for ln, s in zip(f.column("pack_lane").to_pylist(), f.column("size").to_pylist(), strict=True):
                 if ln != lane or used + s > cap:
                     block, used, lane = block + 1, 0, ln
                 blocks.append(block)
                 offsets.append(used)
                 used += s
             state = (lane, used, block)
-            yield f[["path", "walk_id", "piece", "lane", "size"]].assign(block=blocks, offset=offsets)
+            yield pa.RecordBatch.from_arrays([*map(f.column, out), pa.array(blocks, pa.int32()), pa.array(offsets, pa.int64())], names=[*out, "block", "offset"])
 
-    return in_order.mapInPandas(assign, "path string, walk_id bigint, piece int, lane int, size bigint, block int, offset bigint")
+    return in_order.mapInArrow(assign, "path string, walk_id bigint, piece int, lane int, size bigint, block int, offset bigint")
 
 
 SUMMARY = "pid int, reach bigint, blocks bigint, out_used bigint, first_lane int, last_lane int, total bigint"
 _ALWAYS = (1 << 63) - 1
+#: (lane, used, last block) before the first file.
+_START = (-1, 0, -1)
 
 
-def _summary(frames: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataFrame]:
+def _summary(it: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBatch]:
     """Of one range, a row for each run of first starts with the same outcome: blocks started, bytes used of the last.
 
     reach: the bytes up to and with the last file of the run, so a carried `used` starts a block within the run, or
     before it, where used + reach > cap; or always, where the run has a change of lane.
     """
-    got = [f for f in frames if len(f)]
+    got = [f.select(["pid", "pack_lane", "size"]) for f in it if len(f)]
     if not got:
         return
-    pid = int(got[0].pid.iloc[0])
-    lane = np.concatenate([f.pack_lane.to_numpy() for f in got])
-    size = np.concatenate([f["size"].to_numpy() for f in got]).astype(np.int64)
+    pid = got[0].column("pid")[0].as_py()
+    lane, size = (np.concatenate([f.column(c).to_numpy() for f in got]) for c in ("pack_lane", "size"))
     del got
     n, upto = len(size), np.cumsum(size)
     change = np.append(np.flatnonzero(lane[1:] != lane[:-1]) + 1, n)
@@ -124,13 +130,15 @@ def _summary(frames: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataFrame]
             rows[-1] = (pid, reach, *rows[-1][2:])
         else:
             rows.append((pid, reach, count[i], used[i], int(lane[0]), int(lane[-1]), total))
-    yield pd.DataFrame(rows, columns=[c.split()[0] for c in SUMMARY.split(", ")])
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+    yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SUMMARY.split(", ")])
 
 
 def _chain(summaries: list, cap: int) -> dict[int, tuple[int, int, int]]:
     """(lane, used, last block) on entry to each range."""
     entry: dict[int, tuple[int, int, int]] = {}
-    lane, used, block = -1, 0, -1
+    lane, used, block = _START
     by: dict[int, list] = {}
     for r in summaries:
         by.setdefault(r.pid, []).append(r)

@@ -406,10 +406,11 @@ def _(spark, sf):
         with open(at, "rb") as f:
             start, clen, _, _ = read_footer(f)
         total = start + clen + FOOTER_LEN == os.path.getsize(at)
-        chained = F.col("offset") == F.lit(HEADER_LEN) + F.col("before")
-        before = blocks.alias("x").join(blocks.alias("y"), F.col("y.block") < F.col("x.block"), "left").groupBy("x.block", "x.offset").agg(F.coalesce(F.sum("y.clen"), F.lit(0)).alias("before"))
+        ends = blocks.select((F.col("block") + 1).alias("block"), (F.col("offset") + F.col("clen")).alias("before"))
+        chained = F.col("offset") == F.coalesce("before", F.when(F.col("block") == 0, F.lit(HEADER_LEN)))
         whole = blocks.agg(F.sum("clen").alias("c"))
-        return checkpoint(before.agg(F.count("*").alias("blocks"), F.bool_and(chained).alias("gapless")).crossJoin(whole).select("blocks", "gapless", ((F.col("c") + HEADER_LEN == start) & F.lit(total)).alias("sizes_add_up")))
+        per = blocks.join(ends, "block", "left").agg(F.count("*").alias("blocks"), F.bool_and(F.coalesce(chained, F.lit(False))).alias("gapless"))
+        return checkpoint(per.crossJoin(whole).select("blocks", "gapless", ((F.col("c") + HEADER_LEN == start) & F.lit(total)).alias("sizes_add_up")))
 
     return _written(spark, sf, layout)
 

@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +34,6 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from cairn import __version__
 from cairn.functions.classify import lane_codec
-from cairn.operators.order import ranged
 from cairn.operators.pack import assign_blocks, attach_segments, block_table, order, survivors
 from cairn.operators.reports import dedup_counts, kind_counts, kind_rank
 from cairn.schema import BLOCKS, DEFAULT_BLOCK_SIZE, ENTRIES, FOOTER_LEN, HEADER_LEN, MAX_PIECE, MIN_BLOCK_SIZE
@@ -386,9 +384,9 @@ def _encoded(it: Iterator[pa.RecordBatch], block_size: int) -> Iterator[tuple[in
 def decode_blocks(encoded: DataFrame) -> DataFrame:
     """block, raw: decoded block by block in Arrow batches."""
 
-    @F.pandas_udf("binary")
-    def dec(codec: pd.Series, data: pd.Series, rlen: pd.Series) -> pd.Series:
-        return pd.Series([decode(int(c), d, int(n)) for c, d, n in zip(codec, data, rlen, strict=True)])
+    @F.arrow_udf("binary")
+    def dec(codec: pa.Array, data: pa.Array, rlen: pa.Array) -> pa.Array:
+        return pa.array([decode(c, d.as_py(), n) for c, d, n in zip(codec.to_pylist(), data, rlen.to_pylist(), strict=True)], pa.binary())
 
     return encoded.select("block", dec("codec", "data", "rlen").alias("raw"))
 
@@ -517,7 +515,8 @@ def _index_chunks(rows: DataFrame, staging: str) -> list[list]:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([path]), pa.array([n], pa.int64())], names=["pid", "path", "n"])
 
-    in_order = ranged(rows, [kind_rank(), F.col("path"), *order()]).withColumn("pid", F.spark_partition_id())
+    place = [kind_rank(), F.col("path"), *order()]
+    in_order = rows.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("pid", F.spark_partition_id())
     got = in_order.mapInArrow(work, "pid int, path string, n bigint").collect()  # one row a range
     return [[r.path, r.n] for r in sorted(got, key=lambda r: r.pid)]
 
