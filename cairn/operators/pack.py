@@ -33,8 +33,11 @@ def order() -> list[Column]:
 def first_copies(files: DataFrame, dedup: bool = True) -> DataFrame:
     """Adds first_id: the walk_id of the first file of that hash in pack order; its own without dedup.
 
-    The first one is a map-side combined minimum by hash, so no task holds all copies of a common file.
+    The first one is a map-side combined minimum by hash, so no task holds all copies of a common file. Files that have
+    their first_id already stay as they are: who needs it more than once checkpoints it.
     """
+    if "first_id" in files.columns:
+        return files
     files = with_sort_key(files)
     if not dedup:
         return files.withColumn("first_id", F.col("walk_id"))

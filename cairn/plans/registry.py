@@ -236,7 +236,7 @@ def _(spark, sf):
 
 def _packed(spark, sf, cap=CAP):
     """(files with their segments, stored files with their places), both from one assignment."""
-    files = checkpoint(docs_tree(spark, sf))
+    files = checkpoint(pack.first_copies(docs_tree(spark, sf)))
     assigned = checkpoint(pack.assign_blocks(pack.survivors(files), cap))
     return pack.attach_segments(files, assigned), assigned
 
@@ -343,8 +343,8 @@ def _(spark, sf):
   (select count(*) from r where rn > 1) as deduped_files, (select cast(coalesce(sum(size), 0) as bigint) from r where rn > 1) as deduped_bytes, (select count(distinct block) from a) as blocks""")
 def _(spark, sf):
     entries = reports.kind_counts(_all_entries(spark, sf)).select("files", "dirs", "symlinks", F.col("bytes").alias("input_bytes"))
-    files = checkpoint(docs_tree(spark, sf))
-    copies = reports.dedup_counts(pack.first_copies(files))
+    files = checkpoint(pack.first_copies(docs_tree(spark, sf)))
+    copies = reports.dedup_counts(files)
     blocks = pack.assign_blocks(pack.survivors(files), CAP).agg(F.countDistinct("block").alias("blocks"))
     return entries.crossJoin(copies).crossJoin(blocks)  # one row each
 

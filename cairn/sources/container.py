@@ -34,7 +34,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from cairn import __version__
 from cairn.functions.classify import lane_codec
-from cairn.operators.pack import assign_blocks, attach_segments, block_table, order, survivors
+from cairn.operators.pack import assign_blocks, attach_segments, block_table, first_copies, order, survivors
 from cairn.operators.reports import dedup_counts, kind_counts, kind_rank
 from cairn.schema import BLOCKS, DEFAULT_BLOCK_SIZE, ENTRIES, FOOTER_LEN, HEADER_LEN, MAX_PIECE, MIN_BLOCK_SIZE
 from cairn.session import checkpoint
@@ -539,7 +539,7 @@ def write_container(manifest: DataFrame, path: str, o: WriteOptions | None = Non
     names = ("walk_id", "path", "kind", "mode", "mtime", "mtime_nanos", "size", "link_target")
     hashed = F.when(F.col("kind") == "file", F.coalesce(given, digest(F.col("content"), o.hash_name)))
     meta = checkpoint(manifest.filter("piece = 0").select(*names, hashed.alias("hash")))
-    files = meta.filter("kind = 'file'")
+    files = checkpoint(first_copies(meta.filter("kind = 'file'"), o.dedup))
     assigned = checkpoint(assign_blocks(survivors(files, o.dedup, o.max_piece), o.block_size, o.fast_lane))
     listed = attach_segments(files, assigned, o.dedup)
     others = meta.filter("kind <> 'file'").withColumns({"lane": F.lit(0), **{c: F.lit("") for c in ("ext", "dir", "name")}})
@@ -558,10 +558,9 @@ def write_container(manifest: DataFrame, path: str, o: WriteOptions | None = Non
         _by_block(members, o.codec, o.level, o.fast_lane, parts).write.format("container").mode("append").options(**options).save()
     finally:
         shutil.rmtree(staging, ignore_errors=True)
-    kinds, copies = kind_counts(meta).first(), dedup_counts(listed).first()
+    counts = kind_counts(meta).crossJoin(dedup_counts(files)).first()  # one row each
     return {
-        "files": kinds["files"], "dirs": kinds["dirs"], "symlinks": kinds["symlinks"], "deduped_files": copies.deduped_files, "deduped_bytes": copies.deduped_bytes,
-        "input_bytes": kinds["bytes"], "blocks": stored.blocks or 0, "archive_bytes": os.path.getsize(path),
+        **{c: counts[c] for c in ("files", "dirs", "symlinks", "deduped_files", "deduped_bytes")}, "input_bytes": counts["bytes"], "blocks": stored.blocks or 0, "archive_bytes": os.path.getsize(path),
     }
 
 
