@@ -1,14 +1,16 @@
-"""Embedding near-dedup by lattice hashing.
+"""Embedding near-dedup by lattice hashing, without loss.
 
 A table projects the unit vectors to eight random directions, shifts them, and decodes the result to the nearest point
 of the E8 lattice: that is the vector's cell. It is also entered, as a probe, at the PROBES neighbouring lattice points
 (of 240) that are next nearest. Two vectors meet in a table if they share a cell, or one's cell is a probe of the
 other. Vectors that meet are compared by their cosine in double precision. With TABLES = 8 a pair at a cosine of 0.95
 meets with probability 0.996 (one table: 0.5), pairs above it more surely, unrelated ones in a table with about 0.001.
+The links of pairs that meet in no table are found by comparing blocks of vectors, each with each; a block has at most about
+REST components and keys, and there are SPREAD blocks at least. The keys of two vectors tell whether they have met.
 
 Equal vectors form a class first. A cell that more than BLOCK vectors enter is dealt out as pairs of blocks, so no task
 holds more than two blocks, and no pair is ever emitted as a row: a task counts a vector's links (each pair at the first place
-where it meets) and reports a spanning forest of them.
+where it meets, or among the rest) and reports a spanning forest of them.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from cairn.llm.components import connected_components
 from cairn.session import checkpoint
 
 COSINE, TABLES, PROBES, SCALE, BLOCK = 0.95, 8, 2, 0.85, 4096
+REST, SPREAD, TILE, PAIRS = 1 << 20, 8, 1024, 1 << 15
 SEED = 8
 
 
@@ -81,8 +84,13 @@ def _vectors(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 1))
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Times a power of two, which rounds nothing, so that no square overflows."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
-    v = v / np.abs(v).max(axis=1, keepdims=True)  # no overflow in the squares
+    v = _scaled(v)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
@@ -98,7 +106,7 @@ def _enter(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _first_meeting(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(table, key) of the first cell where vectors with these keys meet; homes before probes in a table."""
+    """(whether vectors with these keys meet, key of the first cell where they do); homes before probes in a table."""
     hx, hy = x[:, :TABLES], y[:, :TABLES]
     px, py = x[:, TABLES:].reshape(-1, TABLES, PROBES), y[:, TABLES:].reshape(-1, TABLES, PROBES)
     in_y, in_x = (px == hy[:, :, None]).any(axis=2), (py == hx[:, :, None]).any(axis=2)
@@ -106,35 +114,77 @@ def _first_meeting(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
     t = meets.argmax(axis=1)
     r = np.arange(len(t))
     # where neither shares the home, it is y's cell if x probes it, else x's
-    return t, np.where(hx[r, t] == hy[r, t], hx[r, t], np.where(in_y[r, t] & (~in_x[r, t] | (hy[r, t] < hx[r, t])), hy[r, t], hx[r, t]))
-
-
-def _cell(key: int, i: int, j: int, ids: np.ndarray, n: np.ndarray, unit: np.ndarray, keys: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(links of each vector that are counted here, smallest id it is linked with here) within one pair of blocks."""
-    table_home = (keys[:, :TABLES] == U(key)).any(axis=1)
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    links, low = np.zeros(len(ids), np.int64), ids.copy()
-    for s in range(0, len(left), 256):
-        rows = left[s : s + 256]
-        a, b = np.nonzero(unit[rows] @ unit[right].T >= COSINE)
-        a, b = rows[a], right[b]
-        ok = (a < b if i == j else a != b) & (table_home[a] | table_home[b])
-        a, b = a[ok], b[ok]
-        if not len(a):
-            continue
-        exact = (unit[a] * unit[b]).sum(axis=1) >= COSINE
-        a, b = a[exact], b[exact]
-        _, where = _first_meeting(keys[a], keys[b])
-        mine = where == U(key)
-        np.add.at(links, a[mine], n[b[mine]])
-        np.add.at(links, b[mine], n[a[mine]])
-        np.minimum.at(low, a, ids[b])
-        np.minimum.at(low, b, ids[a])
-    return links, low
-
-
-def _compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, i, j): one group of at most two blocks at a time."""
+    return meets[r, t], np.where(hx[r, t] == hy[r, t], hx[r, t], np.where(in_y[r, t] & (~in_x[r, t] | (hy[r, t] < hx[r, t])), hy[r, t], hx[r, t]))
+
+
+def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row in double precision, by one division, so that a cosine of 0.95 between vectors of whole numbers is 0.95."""
+    xy, xx, yy = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
+    for p, q in zip(x.T, y.T, strict=True):
+        xy += p * q
+        xx += p * p
+        yy += q * q
+    return xy / np.sqrt(xx * yy)
+
+
+def _links(v: np.ndarray, left: np.ndarray, right: np.ndarray, home: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (left, right) with a cosine of COSINE at least, at most PAIRS at a time; where left is right, each once.
+    With `home` only those of which one is at home.
+
+    Products of floats leave out only what is below COSINE by more than they can be wrong (rounding the components and D
+    products and sums: (D + 2) / 2^24 of at most 1); those nearer to it than that are summed in double precision.
+    """
+    v, unit = _scaled(v), _unit(v).astype(np.float32)
+    wrong = (v.shape[1] + 8) * 2.0**-22
+    for s in range(0, len(left), TILE):
+        rows = left[s : s + TILE]
+        for u in range(s if left is right else 0, len(right), TILE):
+            cols = right[u : u + TILE]
+            g = (unit[rows] @ unit[cols].T).ravel()
+            near = np.flatnonzero(g >= COSINE - wrong)
+            for p in range(0, len(near), PAIRS):
+                at = near[p : p + PAIRS]
+                a, b = rows[at // len(cols)], cols[at % len(cols)]
+                ok = a < b if left is right else np.ones(len(at), bool)
+                if home is not None:
+                    ok &= home[a] | home[b]
+                close = np.flatnonzero(ok & (g[at] < COSINE + wrong))
+                ok[close] = _cosine(v[a[close]], v[b[close]]) >= COSINE
+                if ok.any():
+                    yield a[ok], b[ok]
+
+
+def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Unites the trees of a and b. Each place of root holds the first place of its tree, before and after."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(root, up := root[root]):
+            root[:] = up
+
+
+def _cell(key: int | None, i: int, j: int, ids: np.ndarray, n: np.ndarray, v: np.ndarray, keys: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(links of each vector that are counted here, smallest id it is connected with by these) within one pair of
+    blocks: of a cell, or without a key those of pairs that meet in none. Rows are in order of ids."""
+    home = None if key is None else (keys[:, :TABLES] == key).any(axis=1)
+    left = np.flatnonzero(block == i)
+    links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    for a, b in _links(v, left, left if i == j else np.flatnonzero(block == j), home):
+        met, where = _first_meeting(keys[a], keys[b])
+        mine = ~met if key is None else met & (where == key)
+        a, b = a[mine], b[mine]
+        np.add.at(links, a, n[b])
+        np.add.at(links, b, n[a])
+        _unite(root, a, b)
+    return links, ids[root]
+
+
+def _compare(it: Iterator[pa.RecordBatch], rest: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, i, j, id): one group of at most two blocks at a time."""
     held: list[pa.RecordBatch] = []
 
     def run(table: pa.Table) -> pa.RecordBatch:
@@ -149,7 +199,8 @@ def _compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 part = table.take(pa.array(at))
                 keys = _longs(part.column("keys"))
-                links, low = _cell(np.array([order["key"][s]]).view(U)[0], order["i"][s], order["j"][s], order["id"][at], order["n"][at], _unit(_vectors(part.column("v"))), keys, order["block"][at])
+                key = None if rest else np.array([order["key"][s]]).view(U)[0]
+                links, low = _cell(key, order["i"][s], order["j"][s], order["id"][at], order["n"][at], _vectors(part.column("v")), keys, order["block"][at])
                 some = (links > 0) | (low < order["id"][at])
                 out.append((order["id"][at][some], links[some], low[some]))
         cols = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3)]
@@ -176,6 +227,17 @@ def _longs(col: pa.ChunkedArray) -> np.ndarray:
     return np.ascontiguousarray(flat).view(U).reshape(-1, TABLES * (1 + PROBES))
 
 
+def _met(spots: DataFrame, entered: DataFrame, parts: int, rest: bool = False) -> DataFrame:
+    """(id, links, low) of spots (id, key, blocks): each key's vectors are dealt into so many blocks, all pairs of which are compared."""
+    dealt = spots.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.select("id", "key", "block", other.alias("other"))
+    dealt = dealt.select("id", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rich = dealt.join(entered, "id").select("key", "i", "j", "block", "id", "n", "v", "keys")
+    rich = rich.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    return rich.mapInArrow(lambda it: _compare(it, rest), "id bigint, links bigint, low bigint")
+
+
 def near_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per input row.
 
@@ -195,15 +257,11 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     spots = entered.select("id", F.posexplode("keys").alias("pos", "key")).select("id", "key", (F.col("pos") < TABLES).alias("home"))
     spots = spots.groupBy("key", "id").agg(F.max("home").alias("home"))
     full = spots.groupBy("key").agg(F.count("*").alias("n"), F.max("home").alias("any_home")).filter("n > 1 and any_home")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = spots.join(full.select("key", blocks.alias("blocks")), "key")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.select("id", "key", "block", other.alias("other"))
-    dealt = dealt.select("id", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rich = dealt.join(entered, "id").select("key", "i", "j", "block", "id", "n", "v", "keys")
-    rich = rich.repartition(max(parts_of(vectors), 64), "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    found = checkpoint(rich.mapInArrow(_compare, "id bigint, links bigint, low bigint"))
+    spots = spots.join(full.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
+    size = entered.agg(F.sum(F.size("v") + F.size("keys"))).first()[0] or 0
+    all_of_them = entered.select("id", F.lit(0).cast("bigint").alias("key"), F.lit(max(SPREAD, -(-size // REST))).alias("blocks")).distinct()
+    parts = max(parts_of(vectors), 64)
+    found = checkpoint(_met(spots, entered, parts).unionByName(_met(all_of_them, entered, parts, rest=True)))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     component = connected_components(found.filter("low < id").select(F.col("id").alias("a"), F.col("low").alias("b")))
     facts = classes.select("h1", "h2", "id", "n").join(links, "id", "left").join(component, "id", "left")

@@ -230,6 +230,47 @@ def test_vectors_recall_and_groups(spark, monkeypatch):
     assert all(got[i] == truth[i][0] for i in range(1000, 1150))
 
 
+def test_vectors_lose_no_link(spark, monkeypatch):
+    """Pairs just above the threshold in many numbers: all are found, those that share no cell too."""
+    rng = np.random.default_rng(1)
+    x, z = rng.normal(size=(2, 4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.9501 * x + np.sqrt(1 - 0.9501**2) * z
+    rows = [(2 * i + k, v.tolist()) for i in range(4000) for k, v in enumerate((x[i], y[i]))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    truth = vector_truth(rows)
+    home, probe = lattice.cells(np.concatenate([x, y]))
+    hx, hy, px, py = home[:4000, :, None], home[4000:, :, None], probe[:4000], probe[4000:]
+    meet = ((hx == hy) | (px == hy) | (py == hx)).any(axis=(1, 2))
+    assert 3900 < meet.sum() < 4000
+    monkeypatch.setattr(lattice, "REST", 64_000, raising=False)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_vectors(df).collect()} == truth
+
+
+def test_vectors_middle(spark):
+    """Vectors that only a third one with a higher vec_id connects; of two links both must count."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(200):
+        x, z = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+        rows += [(3 * i + k, (np.cos(t) * x + np.sin(t) * z).tolist()) for k, t in enumerate((-0.2, 0.2, 0.0))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == vector_truth(rows) and all(got[3 * i + 1] == (1, 3 * i) for i in range(200))
+
+
+def test_vectors_at_the_threshold(spark):
+    """A cosine of 0.95 in double precision is a link, whatever the length of the vectors; a little less is none."""
+    pairs = [([1, 0, 0, 0, 0], [19, 6, 1, 1, 1]), ([-6, -6, -3, 0, 0], [-75, -153, -57, 6, 9]), ([-6, -5, -4, -2, 0], [-78, -133, -89, -25, 9]), ([-6, -3, -2, 0, 0], [-94, -95, -41, 3, 7])]
+    rows = [(2 * k + i, [0.0] * (5 * k) + [float(c) for c in v] + [0.0] * (15 - 5 * k)) for k, pair in enumerate(pairs) for i, v in enumerate(pair)]
+    more = [(100, [1.0, 0.0, 0.0, 0.0, 0.0]), (101, [19.0, 6.0, 1.0, 1.0, 1.0 + 1e-12]), (102, [5e150, 0.0, 0.0, 0.0, 0.0]), (103, [1e-160, 0.0, 0.0, 0.0, 0.0])]
+    got = {r.vec_id: r.n_links for r in lattice.near_vectors(spark.createDataFrame(rows + more, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == {i: {100: 2, 101: 0, 102: 2, 103: 2}.get(i, 1) for i, _ in rows + more}
+    got = lattice.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
+    assert {r.n_links for r in got} == {1} and all(r.component_id == r.vec_id // 2 * 2 for r in got)
+
+
 def test_vectors_odd(spark):
     nan, inf = float("nan"), float("inf")
     a, b = [1.0] + [0.0] * 7, [1.0, 1e-9] + [0.0] * 6
